@@ -8,13 +8,26 @@ from pyspark.sql import types as T
 
 from tidyveil.errors import StepError
 
-SPACE = r"[\s\x1c-\x1f]"  # used with (?U), so non-breaking and other Unicode spaces count
+# White space in the Unicode sense, spelled out: quicker to test than a character property.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACE_CLASS = r"\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_UNEVEN_SPACE = f"[{SPACE_CLASS}]{{2,}}|[{SPACE_CLASS}&&[^ ]]"  # single plain spaces are left alone
 PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def ref(name: str) -> Column:
     """The column called exactly ``name``, dots and backticks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(sql_name(name))
+
+
+def sql_name(name: str) -> str:
+    """``name`` as it is written in a SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_text(value: str) -> str:
+    """``value`` as a SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def type_of(df: DataFrame, name: str) -> T.DataType:
@@ -38,8 +51,8 @@ def has_column(df: DataFrame, name: str) -> bool:
 
 
 def replace_column(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Same columns in the same order, ``name`` computed anew, as one projection."""
-    return df.select(*[value.alias(name) if c == name else ref(c) for c in df.columns])
+    """Same columns in the same order, ``name`` computed anew. Check with ``has_column`` first."""
+    return df.withColumn(name, value)
 
 
 def is_nested(dtype: T.DataType) -> bool:
@@ -76,17 +89,17 @@ def without_nan(c: Column, dtype: T.DataType) -> Column:
 def is_blank(c: Column, dtype: T.DataType) -> Column:
     """Missing, or text holding nothing but white space."""
     if isinstance(dtype, T.StringType):
-        return c.isNull() | c.rlike(f"(?U)^{SPACE}*$")
+        return c.isNull() | (F.length(strip(c)) == 0)
     return is_missing(c, dtype)
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
     """Inner runs of white space become one space, outer ones go."""
-    return F.trim(F.regexp_replace(c, f"(?U){SPACE}+", " "))
+    return F.trim(F.regexp_replace(c, _UNEVEN_SPACE, " "))
 
 
 def as_text(c: Column, dtype: T.DataType) -> Column:

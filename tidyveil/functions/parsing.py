@@ -14,77 +14,66 @@ from tidyveil.constants import (
     TRUE_WORDS,
 )
 from tidyveil.errors import StepError
-from tidyveil.functions.columns import PLAIN_NUMBER, as_text, is_temporal, strip
+from tidyveil.functions.columns import PLAIN_NUMBER, SPACE_CLASS, as_text, is_temporal, strip
 
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
-_MONTH_WORD = (
-    r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
-    r"|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_MONTH = (
+    r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
+    r"|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?"
 )
+_NTH = r"(\d{1,2})(?:st|nd|rd|th)?"
 _REST = r"(?:[T ]\s*(.*))?$"
-_YEAR_FIRST = r"^(\d{4})[-./](\d{1,2})[-./](\d{1,2})" + _REST
-_YEAR_LAST = r"^(\d{1,2})[-./](\d{1,2})[-./](\d{4}|\d{2})" + _REST
-_COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
-_WORD_FIRST = r"(?i)^" + _MONTH_WORD + r"\.?[ -](\d{1,2})(?:st|nd|rd|th)?[, -]+(\d{4}|\d{2})" + _REST
-_DAY_WORD = r"(?i)^(\d{1,2})(?:st|nd|rd|th)?[ -]" + _MONTH_WORD + r"\.?[, -]+(\d{4}|\d{2})" + _REST
-
-
-def _full_year(y: Column) -> Column:
-    # Two digits follow the usual pivot: 69-99 are 19xx, 00-68 are 20xx.
-    return F.when(F.length(y) == 4, y).otherwise(
-        F.concat(F.when(y >= "69", "19").otherwise("20"), y)
+_PAIR = r"^(\d{1,2})[-./](\d{1,2})[-./]"
+_NEW = r"((?:[0-5]\d|6[0-8]))"  # two-digit years of this century; 69 to 99 are of the last
+_OLD = r"((?:69|[7-9]\d))"
+
+# Shapes of all-digit dates: pattern, its parts put as year-month-day, and the day-first reading.
+_DIGIT_SHAPES = (
+    (r"^(\d{4})[-./](\d{1,2})[-./](\d{1,2})" + _REST, "$1-$2-$3 $4", None),
+    (_PAIR + r"(\d{4})" + _REST, "$3-$1-$2 $4", "$3-$2-$1 $4"),
+    (_PAIR + _NEW + _REST, "20$3-$1-$2 $4", "20$3-$2-$1 $4"),
+    (_PAIR + _OLD + _REST, "19$3-$1-$2 $4", "19$3-$2-$1 $4"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3 ", None),
+)
+# Shapes with the month in words: pattern, what goes before the month number, what after it.
+_WORD_SHAPES = tuple(
+    (r"(?i)" + shape.replace("YEAR", year) + _REST, before, after)
+    for year, century in ((r"(\d{4})", ""), (_NEW, "20"), (_OLD, "19"))
+    for shape, before, after in (
+        (r"^" + _MONTH + r"[ -]" + _NTH + r"[, -]+YEAR", century + "$2-", "-$1 $3"),
+        (r"^" + _NTH + r"[ -]" + _MONTH + r"[, -]+YEAR", century + "$2-", "-$1 $3"),
     )
+)
 
 
-def _moment(year: Column, month: Column, day: Column, rest: Column) -> Column:
-    """NULL unless the parts are a real date and ``rest`` is empty or a time of day."""
-    date = F.concat_ws("-", _full_year(year), month, day)
-    half_day = F.try_to_timestamp(
-        F.concat_ws(" ", date, F.upper(rest)),
-        F.when(rest.rlike(r"^\d{1,2}:\d{2}:"), "yyyy-M-d h:m:s a").otherwise("yyyy-M-d h:m a"),
-    ).cast("timestamp_ntz")
-    return (
-        F.when(F.length(rest) == 0, date.try_cast("date").try_cast("timestamp_ntz"))
-        .when(rest.rlike(r"(?i)[ap]m$"), half_day)
-        .otherwise(F.concat_ws(" ", date, rest).try_cast("timestamp_ntz"))
+def _moment(text: Column, half_day: Column) -> Column:
+    """``2024-1-5`` with or without a time of day as a timestamp, NULL if there is no such moment."""
+    with_half = F.try_to_timestamp(
+        F.upper(text), F.when(text.rlike(":.*:"), "yyyy-M-d h:m:s a").otherwise("yyyy-M-d h:m a")
     )
+    return F.when(half_day, with_half.cast("timestamp_ntz")).otherwise(text.try_cast("timestamp_ntz"))
 
 
 def parse_moment(text: Column) -> Column:
     """Text in any of the known date styles as a wall-clock timestamp, else NULL.
 
-    The shape of the text picks the one reading that is tried, so a row costs a few pattern tests
-    and one cast. Digits alone are month first; where that is no date, day first.
+    The first shape that fits the text rewrites it as year-month-day, and one cast reads that.
+    Digits alone are month first; where that is no date, day first.
     """
     t = strip(text)
-
-    def part(pattern: str, n: int) -> Column:
-        return F.regexp_extract(t, pattern, n)
-
-    def month_number(pattern: str, n: int) -> Column:
-        word = F.substring(F.lower(part(pattern, n)), 1, 3)
-        return ((F.instr(F.lit(_MONTHS), word) + 2) / 3).cast("int").cast("string")
-
-    year_last = F.coalesce(
-        _moment(part(_YEAR_LAST, 3), part(_YEAR_LAST, 1), part(_YEAR_LAST, 2), part(_YEAR_LAST, 4)),
-        _moment(part(_YEAR_LAST, 3), part(_YEAR_LAST, 2), part(_YEAR_LAST, 1), part(_YEAR_LAST, 4)),
-    )
-    return (
-        F.when(
-            t.rlike(_YEAR_FIRST),
-            _moment(part(_YEAR_FIRST, 1), part(_YEAR_FIRST, 2), part(_YEAR_FIRST, 3), part(_YEAR_FIRST, 4)),
-        )
-        .when(t.rlike(_YEAR_LAST), year_last)
-        .when(
-            t.rlike(_WORD_FIRST),
-            _moment(part(_WORD_FIRST, 3), month_number(_WORD_FIRST, 1), part(_WORD_FIRST, 2), part(_WORD_FIRST, 4)),
-        )
-        .when(
-            t.rlike(_DAY_WORD),
-            _moment(part(_DAY_WORD, 3), month_number(_DAY_WORD, 2), part(_DAY_WORD, 1), part(_DAY_WORD, 4)),
-        )
-        .when(t.rlike(_COMPACT), _moment(part(_COMPACT, 1), part(_COMPACT, 2), part(_COMPACT, 3), F.lit("")))
-    )
+    half_day = F.lower(F.right(t, F.lit(2))).isin("am", "pm")
+    month = F.lower(F.regexp_extract(t, r"(?i)jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec", 0))
+    number = ((F.instr(F.lit(_MONTHS), month) + 2) / 3).cast("int").cast("string")
+    reading = F.when(F.lit(False), F.lit(None).cast("timestamp_ntz"))
+    for pattern, month_first, day_first in _DIGIT_SHAPES:
+        moment = _moment(F.trim(F.regexp_replace(t, pattern, month_first)), half_day)
+        if day_first:
+            moment = F.coalesce(moment, _moment(F.trim(F.regexp_replace(t, pattern, day_first)), half_day))
+        reading = reading.when(t.rlike(pattern), moment)
+    for pattern, before, after in _WORD_SHAPES:
+        date = F.concat(F.regexp_replace(t, pattern, before), number, F.regexp_replace(t, pattern, after))
+        reading = reading.when(t.rlike(pattern), _moment(F.trim(date), half_day))
+    return reading
 
 
 def moment_of(c: Column, dtype: T.DataType) -> Column:
@@ -126,7 +115,7 @@ def parse_number(c: Column, dtype: T.DataType) -> Column:
     text = strip(as_text(c, dtype))
     in_brackets = text.startswith("(") & text.endswith(")") & (F.length(text) > 1)
     inner = F.when(in_brackets, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
-    bare = F.regexp_replace(inner, f"(?U)[{CURRENCY_SIGNS}\\s\\x1c-\\x1f]", "")
+    bare = F.regexp_replace(inner, f"[{CURRENCY_SIGNS}{SPACE_CLASS}]", "")
     decimal_point = F.when(
         bare.rlike(GROUPED_BY_DOTS), F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     ).otherwise(F.replace(bare, F.lit(","), F.lit("")))

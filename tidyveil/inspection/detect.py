@@ -19,7 +19,7 @@ from tidyveil.constants import (
     VALUE_RATE_NEEDED,
     VALUE_RULES,
 )
-from tidyveil.functions.columns import as_text, is_nested, is_temporal, ref, strip
+from tidyveil.functions.columns import as_text, is_nested, is_temporal, ref, sql_text, strip
 
 _RATE_SCHEMA = "position int, column string, category string, total bigint, matching bigint, rate double"
 _DETECTION_SCHEMA = (
@@ -61,24 +61,16 @@ def value_pattern_rates(
     if not fields:
         return df.sparkSession.createDataFrame([], _RATE_SCHEMA)
     texts = source.select(*[strip(as_text(ref(f.name), f.dataType)).alias(f"t{i}") for i, f in fields])
-    figures = []
-    for i, _ in fields:
-        figures.append(F.count(f"t{i}").alias(f"n{i}"))
+    figures, lines = [], []  # as SQL text: one expression to parse instead of thousands of calls
+    for i, f in fields:
+        figures.append(F.expr(f"count(t{i})").alias(f"n{i}"))
         for category, pattern, _, _ in VALUE_RULES:
-            figures.append(F.count_if(F.col(f"t{i}").rlike(pattern)).alias(f"n{i}_{category}"))
-    lines = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(f.name).alias("column"),
-            F.lit(category).alias("category"),
-            F.col(f"n{i}").alias("total"),
-            F.col(f"n{i}_{category}").alias("matching"),
-            F.when(F.col(f"n{i}") > 0, F.col(f"n{i}_{category}") / F.col(f"n{i}")).otherwise(F.lit(0.0)).alias("rate"),
-        )
-        for i, f in fields
-        for category, *_ in VALUE_RULES
-    ]
-    return texts.agg(*figures).select(F.inline(F.array(*lines)))
+            figures.append(F.expr(f"count_if(t{i} RLIKE {sql_text(pattern)})").alias(f"n{i}_{category}"))
+            lines.append(
+                f"struct({i} AS position, {sql_text(f.name)} AS column, '{category}' AS category, n{i} AS total, "
+                f"n{i}_{category} AS matching, coalesce(try_divide(n{i}_{category}, n{i}), 0D) AS rate)"
+            )
+    return texts.agg(*figures).select(F.expr(f"inline(array({', '.join(lines)}))"))
 
 
 def _examples(df: DataFrame, skip_numeric_and_dates: bool, rows: int) -> DataFrame:
@@ -86,21 +78,17 @@ def _examples(df: DataFrame, skip_numeric_and_dates: bool, rows: int) -> DataFra
     shown = df.limit(rows)
     fields = _scannable(df, skip_numeric_and_dates)
     texts = shown.select(*[as_text(ref(f.name), f.dataType).alias(f"t{i}") for i, f in fields])
-    lists = [
-        F.collect_list(F.when(strip(F.col(f"t{i}")).rlike(pattern), F.col(f"t{i}"))).alias(f"s{i}_{category}")
-        for i, _ in fields
-        for category, pattern, *_ in VALUE_RULES
-    ]
-    lines = [
-        F.struct(
-            F.lit(f.name).alias("column"),
-            F.lit(category).alias("category"),
-            F.slice(F.col(f"s{i}_{category}"), 1, EXAMPLES).alias("sample_matches"),
-        )
-        for i, f in fields
-        for category, *_ in VALUE_RULES
-    ]
-    return texts.agg(*lists).select(F.inline(F.array(*lines)))
+    lists, lines = [], []
+    for i, f in fields:
+        for category, pattern, _, _ in VALUE_RULES:
+            lists.append(
+                F.collect_list(F.when(strip(F.col(f"t{i}")).rlike(pattern), F.col(f"t{i}"))).alias(f"s{i}_{category}")
+            )
+            lines.append(
+                f"struct({sql_text(f.name)} AS column, '{category}' AS category, "
+                f"slice(s{i}_{category}, 1, {EXAMPLES}) AS sample_matches)"
+            )
+    return texts.agg(*lists).select(F.expr(f"inline(array({', '.join(lines)}))"))
 
 
 def detect_sensitive_columns(
@@ -119,17 +107,11 @@ def detect_sensitive_columns(
     """
     spark = df.sparkSession
     by_name = spark.createDataFrame(name_matches(df.columns), _DETECTION_SCHEMA).withColumn("turn", F.lit(0))
-    rules = F.create_map(
-        *[
-            part
-            for turn, (category, _, highest, action) in enumerate(VALUE_RULES, start=1)
-            for part in (
-                F.lit(category),
-                F.struct(F.lit(turn).alias("turn"), F.lit(highest).alias("highest"), F.lit(action).alias("action")),
-            )
-        ]
+    rules = ", ".join(
+        f"'{category}', struct({turn} AS turn, {highest}D AS highest, '{action}' AS action)"
+        for turn, (category, _, highest, action) in enumerate(VALUE_RULES, start=1)
     )
-    rule = rules[F.col("category")]
+    rule = F.expr(f"element_at(map({rules}), category)")
     by_value = (
         value_pattern_rates(df, sample_rows, skip_numeric_and_dates)
         .filter(F.col("rate") >= VALUE_RATE_NEEDED)
@@ -150,12 +132,12 @@ def detect_sensitive_columns(
         .select("best.*")
         .filter(F.col("confidence") >= min_confidence)
     )
-    labels = F.create_map(*[F.lit(x) for pair in CATEGORY_LABELS.items() for x in pair])
+    labels = ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in CATEGORY_LABELS.items())
     result = best.select(
         "position",
         "column",
         "category",
-        labels[F.col("category")].alias("category_label"),
+        F.expr(f"element_at(map({labels}), category)").alias("category_label"),
         "confidence",
         F.when(F.col("confidence") >= HIGH_CONFIDENCE, "High")
         .when(F.col("confidence") >= MEDIUM_CONFIDENCE, "Medium")

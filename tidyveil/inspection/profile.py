@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidyveil.functions.columns import is_missing, is_temporal, ref, without_nan
+from tidyveil.functions.columns import is_missing, is_temporal, ref, sql_text, without_nan
 
 
 def kind_of(dtype: T.DataType) -> str:
@@ -42,15 +42,8 @@ def profile_columns(df: DataFrame, approx: bool = False) -> DataFrame:
         unique = count(without_nan(c, f.dataType)) if _countable(f.dataType) else F.max(F.lit(None).cast("bigint"))
         figures.append(unique.alias(f"unique{i}"))
     lines = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(f.name).alias("column"),
-            F.lit(f.dataType.simpleString()).alias("dtype"),
-            F.lit(kind_of(f.dataType)).alias("kind"),
-            F.col("total").alias("total"),
-            F.col(f"missing{i}").alias("missing"),
-            F.col(f"unique{i}").alias("unique"),
-        )
+        f"struct({i} AS position, {sql_text(f.name)} AS column, {sql_text(f.dataType.simpleString())} AS dtype, "
+        f"'{kind_of(f.dataType)}' AS kind, total AS total, missing{i} AS missing, unique{i} AS unique)"
         for i, f in enumerate(fields)
     ]
-    return df.agg(*figures).select(F.inline(F.array(*lines)))
+    return df.agg(*figures).select(F.expr(f"inline(array({', '.join(lines)}))"))

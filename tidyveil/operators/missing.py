@@ -66,7 +66,8 @@ def fill_missing(
     numbers; ``mode`` the most frequent cell, the smallest of equals; ``forward`` and ``backward``
     the nearest earlier / later cell in ``order_by``; ``drop`` removes the rows. ``approx=True`` takes
     a sketch for the median. ``stats_from`` is a table with the same values in this column that is
-    cheaper to scan. Statistics are scalar subqueries: nothing runs until the result is used.
+    cheaper to scan. ``mean`` and ``mode`` are scalar subqueries of the result; the exact ``median``
+    counts the column's values, and ``forward`` / ``backward`` sample the order, when called.
     An unknown strategy changes nothing.
     """
     if not has_column(df, column):

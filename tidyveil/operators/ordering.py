@@ -10,15 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidyveil.functions.columns import ref
+from tidyveil.errors import StepError
+from tidyveil.functions.columns import need_flat, ref, replace_column
+from tidyveil.plans.lineage import cut_lineage
 
 MIN_RANGES, MAX_RANGES = 16, 16_384
 SAMPLES_PER_RANGE = 32
-_HASH_SPAN = 1 << 31
+_SEED = 20_011
 
 RANGE = "__range"
 KEY = "__key"
+TIE = "__tie"
 
 
 def range_count(df: DataFrame) -> int:
@@ -27,52 +31,64 @@ def range_count(df: DataFrame) -> int:
     return max(MIN_RANGES, min(MAX_RANGES, width))
 
 
-def order_key(df: DataFrame, columns: list[str]) -> Column:
-    """``columns`` as one comparable value. A hash of the whole row parts rows alike in them, so
-    that many rows with one key value still spread over several ranges, the same way every time."""
-    parts = [ref(c).alias(f"k{i}") for i, c in enumerate(columns)]
-    return F.struct(*parts, F.xxhash64(*map(ref, df.columns)).alias("tie"))
-
-
-def _range_bounds(keyed: DataFrame, ranges: int) -> DataFrame:
-    """One row, one array: ``ranges - 1`` ascending key values cutting the rows into equal shares.
-
-    The keys come from a sample picked by hash, about ``SAMPLES_PER_RANGE`` a range whatever the size
-    of the table, and the same on every run. It only places the cuts; no row is left out.
+def _sortable(c: Column, dtype: T.DataType) -> Column:
+    """The value in a type that keeps its order and passes through JSON unharmed."""
+    if isinstance(dtype, T.IntegralType):
+        return c.cast("bigint")
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return c.cast("double")
+    if isinstance(dtype, (T.StringType, T.BooleanType, T.DecimalType)):
+        return c
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c)
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(dtype, T.TimestampNTZType):  # by its parts, as no time zone may come into it
+        of_day = F.hour(c) * 3600 + F.minute(c) * 60
+        second = (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+        return (F.unix_date(c.cast("date")).cast("bigint") * 86_400 + of_day) * 1_000_000 + second
+    raise StepError(f"rows cannot be ordered by {dtype.simpleString()}")
+
+
+def order_key(df: DataFrame, columns: list[str], tie: list[str]) -> Column:
+    """``columns`` as one comparable value. Rows alike in them are told apart by a hash of ``tie``,
+    so their order is the same on every run, and many of them still spread over several ranges."""
+    parts = [_sortable(ref(c), need_flat(df, c)).alias(f"k{i}") for i, c in enumerate(columns)]
+    return F.struct(*parts, F.xxhash64(*map(ref, tie)).alias("tie"))
+
+
+def _bounds_json(keyed: DataFrame, ranges: int) -> str:
+    """``ranges - 1`` ascending keys that cut the rows into about equal shares, as JSON.
+
+    They come from a sample of SAMPLES_PER_RANGE keys a range, whatever the size of the table. It
+    only places the cuts: every row is then dealt into a range.
     """
-    rows = keyed.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n")).scalar()
-    share = F.lit(float(ranges * SAMPLES_PER_RANGE * _HASH_SPAN)) / rows
-    sample = (
-        keyed.select(ref(KEY))
-        .filter(F.pmod(F.xxhash64(ref(KEY)), F.lit(_HASH_SPAN)) < share)
-        .groupBy(ref(KEY))
-        .agg(F.lit(1).alias("one"))
-        .agg(F.sort_array(F.collect_list(ref(KEY))).alias("seen"))
-    )
-    cut = F.transform(
+    keys = keyed.select(KEY)
+    rows = keys.count()
+    wanted = ranges * SAMPLES_PER_RANGE
+    sample = keys if rows <= wanted else keys.sample(False, wanted / rows, _SEED)
+    seen = sample.agg(F.sort_array(F.collect_list(KEY)).alias("seen"))
+    cuts = F.transform(
         F.sequence(F.lit(1), F.lit(ranges - 1)),
-        lambda i: F.get(ref("seen"), F.floor(i * F.size(ref("seen")) / ranges).cast("int")),
+        lambda i: F.get(F.col("seen"), F.floor(i * F.size("seen") / ranges).cast("int")),
     )
-    return sample.select(F.filter(cut, lambda k: k.isNotNull()).alias("bounds"))
+    return seen.select(F.to_json(F.filter(cuts, lambda k: k.isNotNull()))).first()[0]
 
 
 def with_range(keyed: DataFrame, ranges: int) -> DataFrame:
-    """Add column ``__range``: how many of the range bounds lie below the row's ``__key``."""
-    top = 1
-    while top * 2 < ranges:
-        top *= 2
-    jumps = []
-    while top:
-        jumps.append(top)
-        top //= 2
-    bounded = keyed.withColumn("__bounds", _range_bounds(keyed, ranges).scalar())
-    # Binary search: jump ahead while the bound just before the landing place is below the key.
-    found = F.aggregate(
-        F.array(*[F.lit(j) for j in jumps]),
-        F.lit(0),
-        lambda at, jump: F.when(ref(KEY) > F.get(ref("__bounds"), at + jump - 1), at + jump).otherwise(at),
-    )
-    return bounded.select(*[ref(c) for c in keyed.columns], found.alias(RANGE))
+    """Add ``__range``: how many of the range bounds lie below the row's ``__key``.
+
+    Runs one count and one sample of the keys. The bounds become one constant of the plan, and the
+    binary search over them a projection per halving, so the whole search is generated code.
+    """
+    bounds = F.from_json(F.lit(_bounds_json(keyed, ranges)), T.ArrayType(keyed.schema[KEY].dataType))
+    searched = keyed.withColumn(RANGE, F.lit(0))
+    jump = 1 << ((ranges - 1).bit_length() - 1)
+    while jump:
+        ahead = F.col(KEY) > F.get(bounds, F.col(RANGE) + F.lit(jump - 1))
+        searched = searched.withColumn(RANGE, F.col(RANGE) + F.when(ahead, jump).otherwise(0))
+        jump //= 2
+    return searched
 
 
 def carry_fill(
@@ -87,32 +103,24 @@ def carry_fill(
 
     With ``partition_by`` the value must come from the same group. Ranges are cut over group and
     order key together, so one very large group is spread over many tasks like any other rows.
+    The two small passes (bounds, tail of each range) read the columns named here and no other.
     """
-    group = F.struct(*[ref(c).alias(f"g{i}") for i, c in enumerate(partition_by or [])], F.lit(0).alias("all"))
-    keyed = df.select(
-        "*",
-        value.alias("__value"),
-        group.alias("__group"),
-        order_key(df, [*(partition_by or []), *order_by]).alias(KEY),
-    )
-    # Bounds and ranges come from the key alone, so these scans read no other column.
-    keyed = with_range(keyed, range_count(df))
-
-    latest, far = (F.min_by, F.min) if backward else (F.max_by, F.max)
-    near = F.max if backward else F.min
+    groups = list(partition_by or [])
+    plain = replace_column(df, column, value)
+    key = order_key(plain, [*groups, *order_by], [column])
+    keyed = with_range(plain.select("*", key.alias(KEY)), range_count(df))
+
+    group = F.struct(*[ref(c).alias(f"g{i}") for i, c in enumerate(groups)], F.lit(0).alias("all"))
+    present = ref(column).isNotNull()
+    latest, enter, leave = (F.min_by, F.max_by, F.min_by) if backward else (F.max_by, F.min_by, F.max_by)
     tail = (
         keyed.groupBy(RANGE)
         .agg(
-            near("__group").alias("enter"),
-            far("__group").alias("leave"),
-            latest(
-                F.when(F.col("__value").isNotNull(), F.struct(F.col("__group").alias("g"), F.col("__value").alias("v"))),
-                F.when(F.col("__value").isNotNull(), F.col(KEY)),
-            ).alias("held"),
-        )
-        .select(
-            RANGE, "enter", "leave", F.when(F.col("held.g") == F.col("leave"), F.col("held.v")).alias("v")
+            enter(group, KEY).alias("enter"),
+            leave(group, KEY).alias("leave"),
+            latest(F.when(present, F.struct(group.alias("g"), ref(column).alias("v"))), F.when(present, F.col(KEY))).alias("held"),
         )
+        .select(RANGE, "enter", "leave", F.when(F.col("held.g") == F.col("leave"), F.col("held.v")).alias("v"))
     )
     # At most one row per range from here on: a bounded table.
     step = F.col(RANGE).desc() if backward else F.col(RANGE).asc()
@@ -123,18 +131,17 @@ def carry_fill(
         .filter(F.col("before.leave") == F.col("enter"))
         .select(F.col(RANGE).alias("__to"), F.col("enter").alias("__enter"), F.col("before.v").alias("__carried"))
     )
+    # The key itself is not shuffled: its columns are in the row anyway, its last part is kept.
+    slim = keyed.select(*map(ref, df.columns), F.col(KEY)["tie"].alias(TIE), RANGE)
+    turn = [ref(c).desc_nulls_last() if backward else ref(c).asc_nulls_first() for c in [*order_by, TIE]]
     inner = (
-        W.partitionBy(RANGE, "__group")
-        .orderBy(F.col(KEY).desc() if backward else F.col(KEY).asc())
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
+        W.partitionBy(RANGE, *map(ref, groups)).orderBy(*turn).rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    filled = keyed.withColumn("__near", F.last("__value", ignorenulls=True).over(inner)).join(
-        F.broadcast(carried),
-        (F.col(RANGE) == F.col("__to")) & (F.col("__group") == F.col("__enter")),
-        "left",
+    filled = slim.withColumn("__near", F.last(ref(column), ignorenulls=True).over(inner)).join(
+        F.broadcast(carried), F.col(RANGE) == F.col("__to"), "left"
     )
-    result = F.coalesce(F.col("__near"), F.col("__carried"))
-    return filled.select(*[result.alias(c) if c == column else ref(c) for c in df.columns])
+    carry = F.when(group == F.col("__enter"), F.col("__carried"))
+    return replace_column(filled, column, F.coalesce("__near", carry)).select(*map(ref, df.columns))
 
 
 def row_numbers_between(df: DataFrame, order_by: list[str], first: int, last: int) -> DataFrame:
@@ -142,7 +149,7 @@ def row_numbers_between(df: DataFrame, order_by: list[str], first: int, last: in
 
     Only the ranges the wanted numbers fall into are sorted.
     """
-    keyed = with_range(df.select("*", order_key(df, order_by).alias(KEY)), range_count(df))
+    keyed = with_range(df.select("*", order_key(df, order_by, df.columns).alias(KEY)), range_count(df))
     sizes = keyed.groupBy(RANGE).agg(F.count(F.lit(1)).alias("size"))
     before = F.sum("size").over(W.orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1))
     wanted = (
@@ -162,10 +169,12 @@ def row_numbers_between(df: DataFrame, order_by: list[str], first: int, last: in
 def exact_median(df: DataFrame, value: Column) -> DataFrame:
     """One row, one column ``median``: the middle of the non-null values (mean of the middle two).
 
-    Equal values are counted together before anything is sorted, and only the range or two holding
-    the middle is sorted, so no task sees more than its share of the distinct values.
+    Equal values are counted together once, and the counts stored. Only the range or two of them
+    holding the middle is sorted, so no task sees more than its share of the distinct values.
     """
-    counts = df.select(value.alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(
+        df.select(value.alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    )
     keyed = with_range(counts.select("v", "n", F.struct("v").alias(KEY)), range_count(df))
     sizes = keyed.groupBy(RANGE).agg(F.sum("n").alias("size"))
     upto = W.orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
