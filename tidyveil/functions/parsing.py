@@ -48,10 +48,12 @@ _WORD_SHAPES = tuple(
 
 def _moment(text: Column, half_day: Column) -> Column:
     """``2024-1-5`` with or without a time of day as a timestamp, NULL if there is no such moment."""
-    with_half = F.try_to_timestamp(
-        F.upper(text), F.when(text.rlike(":.*:"), "yyyy-M-d h:m:s a").otherwise("yyyy-M-d h:m a")
-    )
-    return F.when(half_day, with_half.cast("timestamp_ntz")).otherwise(text.try_cast("timestamp_ntz"))
+    plain = F.substring(text, F.lit(1), F.length(text) - 2)
+    moment = F.trim(plain).try_cast("timestamp_ntz")
+    afternoon = F.lower(text).endswith("pm")
+    hours = F.when(afternoon & (F.hour(moment) < 12), 12).when(~afternoon & (F.hour(moment) == 12), -12).otherwise(0)
+    shifted = F.when(F.hour(moment) <= 12, moment + F.make_dt_interval(F.lit(0), hours))
+    return F.when(half_day, shifted).otherwise(text.try_cast("timestamp_ntz"))
 
 
 def parse_moment(text: Column) -> Column:
