@@ -110,25 +110,16 @@ def as_text(c: Column, dtype: T.DataType) -> Column:
         return F.when(c, "True").when(~c, "False")
     if not is_fractional(dtype):
         return c.cast("string")
-    shown = c.cast("string")
-    size = F.abs(c)
-    plain = F.regexp_replace(
-        F.regexp_replace(c.try_cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0"
-    )
-    power = F.substring_index(shown, "E", -1).try_cast("int")
-    scientific = F.concat(
-        F.regexp_replace(F.substring_index(shown, "E", 1), r"\.0$", ""),
-        F.lit("e"),
-        F.when(power < 0, "-").otherwise("+"),
-        F.when(F.abs(power) < 10, "0").otherwise(""),
-        F.abs(power).cast("string"),
-    )
+    # Few expressions on purpose: this is generated code for every cell of every such column.
+    shown, size = c.cast("string"), F.abs(c)
+    plain = F.regexp_replace(c.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    short = F.regexp_replace(F.lower(shown), r"\.0(?=e)|inity", "")  # 1.0E16 is 1e+16, Infinity inf
+    signed = F.regexp_replace(short, r"e(?=\d)", "e+")
+    scientific = F.regexp_replace(signed, r"(?<=e[+-])(?=\d$)", "0")
     return (
-        F.when(is_missing(c, dtype), F.lit(None).cast("string"))
-        .when((size == 0) | ((size >= 1e-3) & (size < 1e7)), shown)
-        .when(F.upper(shown).contains("INF"), F.when(c > 0, "inf").otherwise("-inf"))
+        F.when(((size >= 1e-3) & (size < 1e7)) | (size == 0), shown)
         .when((size >= 1e-4) & (size < 1e16), plain)
-        .otherwise(scientific)
+        .when(~F.isnan(c), scientific)
     )
 
 

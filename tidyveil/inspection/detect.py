@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,14 @@ from tidyveil.constants import (
 )
 from tidyveil.functions.columns import as_text, is_nested, is_temporal, ref, sql_text, strip
 
+# What a text must have before its pattern is worth trying: cheap tests that follow from the patterns.
+_WORTH_TRYING = {
+    "email": "contains({t}, '@')",
+    "phone": "char_length({t}) BETWEEN 7 AND 19",
+    "ssn": "char_length({t}) BETWEEN 9 AND 11",
+    "credit_card": "char_length({t}) BETWEEN 16 AND 19",
+    "ip_address": "char_length({t}) BETWEEN 7 AND 15",
+}
 _RATE_SCHEMA = "position int, column string, category string, total bigint, matching bigint, rate double"
 _DETECTION_SCHEMA = (
     "position int, column string, category string, confidence double, reason string, suggested_action string"
@@ -49,6 +57,11 @@ def _scannable(df: DataFrame, skip_numeric_and_dates: bool) -> list[tuple[int, T
     return [(i, f) for i, f in enumerate(df.schema.fields) if wanted(f.dataType)]
 
 
+def _stripped_text(field: T.StructField) -> Column:
+    text = as_text(ref(field.name), field.dataType)
+    return strip(text) if isinstance(field.dataType, T.StringType) else text
+
+
 def value_pattern_rates(
     df: DataFrame, sample_rows: int | None = None, skip_numeric_and_dates: bool = False
 ) -> DataFrame:
@@ -60,12 +73,13 @@ def value_pattern_rates(
     fields = _scannable(df, skip_numeric_and_dates)
     if not fields:
         return df.sparkSession.createDataFrame([], _RATE_SCHEMA)
-    texts = source.select(*[strip(as_text(ref(f.name), f.dataType)).alias(f"t{i}") for i, f in fields])
+    texts = source.select(*[_stripped_text(f).alias(f"t{i}") for i, f in fields])
     figures, lines = [], []  # as SQL text: one expression to parse instead of thousands of calls
     for i, f in fields:
         figures.append(F.expr(f"count(t{i})").alias(f"n{i}"))
         for category, pattern, _, _ in VALUE_RULES:
-            figures.append(F.expr(f"count_if(t{i} RLIKE {sql_text(pattern)})").alias(f"n{i}_{category}"))
+            fits = f"{_WORTH_TRYING[category].format(t=f't{i}')} AND t{i} RLIKE {sql_text(pattern)}"
+            figures.append(F.expr(f"count_if({fits})").alias(f"n{i}_{category}"))
             lines.append(
                 f"struct({i} AS position, {sql_text(f.name)} AS column, '{category}' AS category, n{i} AS total, "
                 f"n{i}_{category} AS matching, coalesce(try_divide(n{i}_{category}, n{i}), 0D) AS rate)"
