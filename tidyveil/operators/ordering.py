@@ -16,7 +16,7 @@ from tidyveil.errors import StepError
 from tidyveil.functions.columns import need_flat, ref, replace_column
 from tidyveil.plans.lineage import cut_lineage
 
-MIN_RANGES, MAX_RANGES = 16, 16_384
+MIN_RANGES, MAX_RANGES = 16, 8_192
 SAMPLES_PER_RANGE = 32
 _SEED = 20_011
 

@@ -110,7 +110,7 @@ def run_job(
             lines = [f"{'ok' if m['success'] else 'FAILED'} {m['step']}. {m['step_name']}: rows {m['rows_before']} -> {m['rows_after']}, columns {m['cols_before']} -> {m['cols_after']}" for m in record["steps"]]
             record["summary"] = "\n".join(lines)
         write_table(data, target, mode="overwrite" if on_exists == "replace" else "errorifexists", delimiter=options.get("delimiter"))
-        check_written(spark, target)
+        check_written(spark, target, data)
         record["column_count"] = len(data.columns)
         record["row_count"] = _count_written(spark, target, options, data)
         if fingerprints:

@@ -84,7 +84,7 @@ def _inferred(df: DataFrame) -> DataFrame:
 
 def _read_text_cells(
     spark: SparkSession,
-    files: list[str],
+    files: str | list[str],
     delimiter: str,
     header_row: int | None,
     latin1: bool,
@@ -102,6 +102,7 @@ def _read_text_cells(
         return cells.select("cells.*").toDF(*names)
     return (
         spark.read.schema(schema)
+        .option("recursiveFileLookup", True)
         .options(**options, header=header_row == 0, multiLine=multi_line, encoding="ISO-8859-1" if latin1 else "UTF-8")
         .csv(files)
         .toDF(*names)
@@ -144,10 +145,10 @@ def read_delimited(
 
     cells = _header_cells(spark, files[0], header_row or 0, delimiter, files[0] in latin)
     names = [f"_c{i}" for i in range(len(cells))] if header_row is None else _column_names(cells)
+    # The path itself is read where its files are alike, rather than a long list of them.
+    groups = [(path, bool(latin))] if not (latin and plain) else [(plain, False), (latin, True)]
     parts = [
-        _read_text_cells(spark, group, delimiter, header_row, latin1, names, multi_line)
-        for group, latin1 in ((plain, False), (latin, True))
-        if group
+        _read_text_cells(spark, group, delimiter, header_row, latin1, names, multi_line) for group, latin1 in groups
     ]
     table = parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
     present = table.select(*[F.when(~ref(c).isin(*MISSING_TOKENS), ref(c)).alias(c) for c in names])

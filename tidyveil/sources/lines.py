@@ -14,7 +14,8 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     Inside one file ``id`` grows line by line; the least ``id`` of a file's block 0 is its first line.
     """
     return (
-        spark.read.text(paths)
+        spark.read.option("recursiveFileLookup", True)
+        .text(paths)
         .select(
             "value",
             F.col("_metadata.file_path").alias("file"),

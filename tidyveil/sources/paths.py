@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tidyveil.constants import OUTPUT_SUFFIX
 from tidyveil.errors import OutputError
@@ -75,8 +75,9 @@ def safe_output(spark: SparkSession, source: str, output: str, on_exists: str =
     return target
 
 
-def check_written(spark: SparkSession, path: str) -> None:
+def check_written(spark: SparkSession, path: str, data: DataFrame) -> None:
+    """Raise unless ``data`` left something at ``path``; only a table without rows may leave no bytes."""
     if not exists(spark, path):
         raise OutputError(f"nothing was written to {path!r}")
-    if content_bytes(spark, path) == 0:
+    if content_bytes(spark, path) == 0 and not data.isEmpty():
         raise OutputError(f"the output at {path!r} is empty")
