@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tidyveil.errors import StepError
 from tidyveil.functions.columns import as_text, is_blank, squeeze, strip, to_number
-from tidyveil.functions.parsing import parse_boolean, parse_moment, parse_number, spark_date_pattern
+from tidyveil.functions.parsing import parse_boolean, parse_moment, spark_date_pattern, with_moment, with_number
 from tidyveil.functions.patterns import java_pattern, java_replacement
 
 
@@ -17,6 +17,11 @@ def evaluate(spark, values, kind, expression):
     return [r[0] for r in df.orderBy("i").select(expression(F.col("v"))).collect()]
 
 
+def whole(spark, values, kind, operator):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
+    return [r["v"] for r in operator(df, "v").orderBy("i").collect()]
+
+
 def test_doubles_read_as_python_writes_them(spark):
     values = [1.0, 0.0, -0.5, 1e7, 12345678.9, 0.00012, -2.5e9, 1e16, 1.5e-7, 1.2345678901234568e17, 1e22, 9999999.5, 0.001, 1e-5]
     assert evaluate(spark, values, "double", lambda c: as_text(c, T.DoubleType())) == [str(v) for v in values]
@@ -71,7 +76,7 @@ MOMENTS = {
 
 
 def test_date_styles(spark):
-    got = evaluate(spark, list(DATES), "string", parse_moment)
+    got = whole(spark, list(DATES), "string", with_moment)
     assert [str(v.date()) if v else None for v in got] == list(DATES.values())
 
 
@@ -106,8 +111,8 @@ NUMBERS = {
 
 
 def test_numbers(spark):
-    assert evaluate(spark, list(NUMBERS), "string", lambda c: parse_number(c, T.StringType())) == list(NUMBERS.values())
-    assert evaluate(spark, [3, None], "int", lambda c: parse_number(c, T.IntegerType())) == [3.0, None]
+    assert whole(spark, list(NUMBERS), "string", with_number) == list(NUMBERS.values())
+    assert whole(spark, [3, None], "int", with_number) == [3.0, None]
 
 
 def test_plain_numbers(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,16 @@ from tidyveil.constants import (
     TRUE_WORDS,
 )
 from tidyveil.errors import StepError
-from tidyveil.functions.columns import PLAIN_NUMBER, SPACE_CLASS, as_text, is_temporal, strip
+from tidyveil.functions.columns import (
+    PLAIN_NUMBER,
+    SPACE_CLASS,
+    as_text,
+    is_temporal,
+    need_flat,
+    ref,
+    replace_column,
+    strip,
+)
 
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _MONTH = (
@@ -24,62 +33,61 @@ _MONTH = (
 _NTH = r"(\d{1,2})(?:st|nd|rd|th)?"
 _REST = r"(?:[T ]\s*(.*))?$"
 _PAIR = r"^(\d{1,2})[-./](\d{1,2})[-./]"
-_NEW = r"((?:[0-5]\d|6[0-8]))"  # two-digit years of this century; 69 to 99 are of the last
-_OLD = r"((?:69|[7-9]\d))"
 
-# Shapes of all-digit dates: pattern, its parts put as year-month-day, and the day-first reading.
+# Shapes of dates: pattern, then its parts put as year-month-day with the rest behind a space.
 _DIGIT_SHAPES = (
-    (r"^(\d{4})[-./](\d{1,2})[-./](\d{1,2})" + _REST, "$1-$2-$3 $4", None),
-    (_PAIR + r"(\d{4})" + _REST, "$3-$1-$2 $4", "$3-$2-$1 $4"),
-    (_PAIR + _NEW + _REST, "20$3-$1-$2 $4", "20$3-$2-$1 $4"),
-    (_PAIR + _OLD + _REST, "19$3-$1-$2 $4", "19$3-$2-$1 $4"),
-    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3 ", None),
+    (r"^(\d{4})[-./](\d{1,2})[-./](\d{1,2})" + _REST, "$1-$2-$3 $4"),
+    (_PAIR + r"(\d{4}|\d{2})" + _REST, "$3-$1-$2 $4"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
 )
-# Shapes with the month in words: pattern, what goes before the month number, what after it.
-_WORD_SHAPES = tuple(
-    (r"(?i)" + shape.replace("YEAR", year) + _REST, before, after)
-    for year, century in ((r"(\d{4})", ""), (_NEW, "20"), (_OLD, "19"))
-    for shape, before, after in (
-        (r"^" + _MONTH + r"[ -]" + _NTH + r"[, -]+YEAR", century + "$2-", "-$1 $3"),
-        (r"^" + _NTH + r"[ -]" + _MONTH + r"[, -]+YEAR", century + "$2-", "-$1 $3"),
-    )
+_DAY_FIRST = (_DIGIT_SHAPES[1][0], "$3-$2-$1 $4")
+_WORD_SHAPES = (
+    r"(?i)^" + _MONTH + r"[ -]" + _NTH + r"[, -]+(\d{4}|\d{2})" + _REST,
+    r"(?i)^" + _NTH + r"[ -]" + _MONTH + r"[, -]+(\d{4}|\d{2})" + _REST,
 )
+_THIS_CENTURY = r"^(?=(?:[0-5]\d|6[0-8])-)"  # two-digit years: 00 to 68 are 20xx, 69 to 99 are 19xx
+_LAST_CENTURY = r"^(?=(?:69|[7-9]\d)-)"
 
 
-def _moment(text: Column, half_day: Column) -> Column:
-    """``2024-1-5`` with or without a time of day as a timestamp, NULL if there is no such moment."""
-    plain = F.substring(text, F.lit(1), F.length(text) - 2)
-    moment = F.trim(plain).try_cast("timestamp_ntz")
-    afternoon = F.lower(text).endswith("pm")
-    hours = F.when(afternoon & (F.hour(moment) < 12), 12).when(~afternoon & (F.hour(moment) == 12), -12).otherwise(0)
-    shifted = F.when(F.hour(moment) <= 12, moment + F.make_dt_interval(F.lit(0), hours))
-    return F.when(half_day, shifted).otherwise(text.try_cast("timestamp_ntz"))
+def _as_moment(date: Column) -> Column:
+    full = F.regexp_replace(F.regexp_replace(F.trim(date), _THIS_CENTURY, "20"), _LAST_CENTURY, "19")
+    return full.try_cast("timestamp_ntz")
 
 
 def parse_moment(text: Column) -> Column:
-    """Text in any of the known date styles as a wall-clock timestamp, else NULL.
+    """Stripped text in any of the known date styles as a wall-clock timestamp, else NULL.
 
     The first shape that fits the text rewrites it as year-month-day, and one cast reads that.
     Digits alone are month first; where that is no date, day first.
     """
-    t = strip(text)
-    half_day = F.lower(F.right(t, F.lit(2))).isin("am", "pm")
-    month = F.lower(F.regexp_extract(t, r"(?i)jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec", 0))
+    half_day = F.lower(F.right(text, F.lit(2))).isin("am", "pm") & text.contains(":")
+    body = F.when(half_day, F.trim(F.substring(text, F.lit(1), F.length(text) - 2))).otherwise(text)
+    month = F.lower(F.regexp_extract(text, r"(?i)jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec", 0))
     number = ((F.instr(F.lit(_MONTHS), month) + 2) / 3).cast("int").cast("string")
-    reading = F.when(F.lit(False), F.lit(None).cast("timestamp_ntz"))
-    for pattern, month_first, day_first in _DIGIT_SHAPES:
-        moment = _moment(F.trim(F.regexp_replace(t, pattern, month_first)), half_day)
-        if day_first:
-            moment = F.coalesce(moment, _moment(F.trim(F.regexp_replace(t, pattern, day_first)), half_day))
-        reading = reading.when(t.rlike(pattern), moment)
-    for pattern, before, after in _WORD_SHAPES:
-        date = F.concat(F.regexp_replace(t, pattern, before), number, F.regexp_replace(t, pattern, after))
-        reading = reading.when(t.rlike(pattern), _moment(F.trim(date), half_day))
-    return reading
 
+    date = F.when(F.lit(False), F.lit(None).cast("string"))
+    for pattern, put in _DIGIT_SHAPES:
+        date = date.when(body.rlike(pattern), F.regexp_replace(body, pattern, put))
+    for pattern in _WORD_SHAPES:
+        words = F.concat(F.regexp_replace(body, pattern, "$2-"), number, F.regexp_replace(body, pattern, "-$1 $3"))
+        date = date.when(body.rlike(pattern), words)
+    other = F.when(body.rlike(_DAY_FIRST[0]), F.regexp_replace(body, *_DAY_FIRST))
+
+    hour = F.regexp_extract(text, r"(\d{1,2}):", 1).try_cast("int")
+    pm = F.lower(F.right(text, F.lit(2))) == "pm"
+    shift = F.when(hour <= 12, F.when(pm & (hour < 12), 12).when(~pm & (hour == 12), -12).otherwise(0))
+    moved = F.make_dt_interval(F.lit(0), F.when(half_day, shift).otherwise(0))
+    return F.coalesce(_as_moment(date), _as_moment(other)) + moved
 
-def moment_of(c: Column, dtype: T.DataType) -> Column:
-    return c if is_temporal(dtype) else parse_moment(as_text(c, dtype))
+
+def with_moment(df: DataFrame, column: str) -> DataFrame:
+    """``column`` read as a timestamp; left alone where it is a date or timestamp already."""
+    dtype = need_flat(df, column)
+    if is_temporal(dtype):
+        return df
+    # Stripped in a projection of its own, so that once a row is enough.
+    text = replace_column(df, column, strip(as_text(ref(column), dtype)))
+    return replace_column(text, column, parse_moment(ref(column)))
 
 
 def spark_date_pattern(strftime: str) -> str:
@@ -112,22 +120,28 @@ def spark_date_pattern(strftime: str) -> str:
     return "".join(out)
 
 
-def parse_number(c: Column, dtype: T.DataType) -> Column:
-    """``$1,234.50``, ``(500)``, ``12.5%`` and dot-grouped ``1.234,56`` as doubles, else NULL."""
-    text = strip(as_text(c, dtype))
-    in_brackets = text.startswith("(") & text.endswith(")") & (F.length(text) > 1)
-    inner = F.when(in_brackets, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
-    bare = F.regexp_replace(inner, f"[{CURRENCY_SIGNS}{SPACE_CLASS}]", "")
-    decimal_point = F.when(
-        bare.rlike(GROUPED_BY_DOTS), F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    ).otherwise(F.replace(bare, F.lit(","), F.lit("")))
-    per_cent = decimal_point.endswith("%")
-    digits = F.when(per_cent, F.substring(decimal_point, F.lit(1), F.length(decimal_point) - 1)).otherwise(
-        decimal_point
-    )
+def with_number(df: DataFrame, column: str) -> DataFrame:
+    """``column`` read as a double: ``$1,234.50``, ``(500)``, ``12.5%``, dot-grouped ``1.234,56``; else NULL.
+
+    One projection per stage: each stage uses its input several times, and has it computed once.
+    """
+    dtype, c, negative = need_flat(df, column), ref(column), F.col("__negative")
+    text = replace_column(df, column, strip(as_text(c, dtype)))
+    text = text.withColumn("__negative", c.startswith("(") & c.endswith(")") & (F.length(c) > 1))
+
+    inner = F.when(negative, F.substring(c, F.lit(2), F.length(c) - 2)).otherwise(c)
+    bare = replace_column(text, column, F.regexp_replace(inner, f"[{CURRENCY_SIGNS}{SPACE_CLASS}]", ""))
+
+    no_dots, no_commas = F.replace(c, F.lit("."), F.lit("")), F.replace(c, F.lit(","), F.lit(""))
+    pointed = F.when(c.rlike(GROUPED_BY_DOTS), F.replace(no_dots, F.lit(","), F.lit("."))).otherwise(no_commas)
+    plain = replace_column(bare, column, pointed)
+
+    per_cent = c.endswith("%")
+    digits = F.when(per_cent, F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(c)
     number = F.when(digits.rlike(PLAIN_NUMBER), digits.try_cast("double"))
-    signed = F.when(in_brackets, -number).otherwise(number)
-    return F.when(per_cent, signed / F.lit(100.0)).otherwise(signed)
+    sign = F.when(negative, -1.0).otherwise(1.0)
+    result = number * sign / F.when(per_cent, 100.0).otherwise(1.0)
+    return replace_column(plain, column, result).drop("__negative")
 
 
 def parse_boolean(c: Column, dtype: T.DataType) -> Column:

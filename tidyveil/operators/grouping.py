@@ -17,7 +17,7 @@ from tidyveil.functions.columns import (
     replace_column,
     to_number,
 )
-from tidyveil.functions.parsing import moment_of
+from tidyveil.functions.parsing import with_moment
 from tidyveil.operators.lookup import HOT_SHARE, attach_by_value
 
 _DATE_UNITS = {"month": "yyyy-MM", "year": "yyyy"}
@@ -96,7 +96,7 @@ def generalize_column(
     if date_unit is not None:
         if date_unit not in _DATE_UNITS:
             raise StepError(f"date_unit must be month or year, not {date_unit!r}")
-        return replace_column(df, column, F.date_format(moment_of(c, dtype), _DATE_UNITS[date_unit]))
+        return replace_column(with_moment(df, column), column, F.date_format(c, _DATE_UNITS[date_unit]))
     number = to_number(c, dtype)
     if round_to is not None:
         if not float(round_to) > 0:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidyveil.functions.columns import has_column, need_flat, ref, replace_column, text_column
-from tidyveil.functions.parsing import moment_of, parse_boolean, parse_number, spark_date_pattern
+from tidyveil.functions.parsing import parse_boolean, spark_date_pattern, with_moment, with_number
 from tidyveil.functions.patterns import java_pattern, java_replacement
 
 
@@ -14,15 +14,15 @@ def normalize_dates(df: DataFrame, column: str, output_format: str = "%Y-%m-%d")
     """Dates in mixed styles as text in one style; what is no date becomes NULL."""
     if not has_column(df, column):
         return df
-    moment = moment_of(ref(column), need_flat(df, column))
-    return replace_column(df, column, F.date_format(moment, spark_date_pattern(output_format)))
+    pattern = spark_date_pattern(output_format)
+    return replace_column(with_moment(df, column), column, F.date_format(ref(column), pattern))
 
 
 def normalize_numbers(df: DataFrame, column: str) -> DataFrame:
     """Money, percentages and bracketed negatives as doubles; what is no number becomes NULL."""
     if not has_column(df, column):
         return df
-    return replace_column(df, column, parse_number(ref(column), need_flat(df, column)))
+    return with_number(df, column)
 
 
 def normalize_booleans(df: DataFrame, column: str) -> DataFrame:
