@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.compare import compare, database
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = "/root/testdata/sf0.01"  # the smallest at which every query has rows
 
 
 @pytest.fixture(scope="module")
