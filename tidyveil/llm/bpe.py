@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidyveil.llm.common import bounded_batches, text_of
+from tidyveil.llm.common import prepare, text_of
 
 #: Texts longer than this many characters are cut before they are matched, at places where every match ends.
 CUT = 1 << 15
@@ -63,7 +63,7 @@ def encode(
     A missing or empty text gives an empty array; equal rows give equal rows, an empty table an empty one. Other
     columns are not read, whatever their names; ``out`` must not be in ``keep``.
     """
-    bounded_batches(df.sparkSession)
+    prepare(df.sparkSession)
     source = df.select(*[F.col(c) for c in keep], text_of(text).alias(out))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(out, T.ArrayType(T.IntegerType()))])
 
@@ -88,7 +88,7 @@ def decode(df: DataFrame, ranks: str, pattern: str, keep: list[str], tokens: str
     The bytes need not be valid UTF-8 where ids were cut. A missing or empty array gives no bytes; an id without a
     token raises. ``out`` must not be in ``keep``; other columns are not read.
     """
-    bounded_batches(df.sparkSession)
+    prepare(df.sparkSession)
     source = df.select(*[F.col(c) for c in keep], F.coalesce(F.col(tokens), F.array().cast("array<int>")).alias(out))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(out, T.BinaryType())])
 

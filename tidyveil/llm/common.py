@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +36,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches sent to Python by bytes, unless the session already does."""
+_SHIPPED: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Before Python runs in tasks: send this package to the executors, bound Arrow batches by bytes unless that is done."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = os.path.join(tempfile.mkdtemp(), os.path.basename(package))  # the driver hands it out from there
+        context.addPyFile(shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package)))
+        _SHIPPED.add(context.applicationId)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(str(spark.conf.get(key, str(2**31 - 1))).rstrip("bB")) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
@@ -42,10 +55,7 @@ def bounded_batches(spark: SparkSession) -> None:
 def blocks(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices of at most ``most`` bytes of text, or of one longer text."""
     for batch in batches:
-        sizes = batch.column(text).cast(pa.large_binary()).buffers()[1]
-        if batch.num_rows == 0 or sizes is None:
-            continue
-        ends = pa.compute.binary_length(batch.column(text).cast(pa.large_binary())).to_numpy(zero_copy_only=False).cumsum()
+        ends = pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype("int64").cumsum()
         first = 0
         while first < batch.num_rows:
             before = ends[first - 1] if first else 0

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyveil.llm.common import bounded_batches, stored, text_of
+from tidyveil.llm.common import prepare, stored, text_of
 
 #: Bytes of a chunk: the least, the mean beyond the least (a power of two), and the most.
 LEAST, MEAN, MOST = 512, 2048, 16384
@@ -68,7 +68,7 @@ def recipes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=_d
     Two rows have equal recipes if and only if they have equal texts: an identifier is the digest of the chunk, and where
     chunks of equal digest differ in any byte, also their number among them.
     """
-    bounded_batches(df.sparkSession)
+    prepare(df.sparkSession)
     source = df.select(F.col(doc_id).alias("id"), text_of(text).cast("binary").alias("body"))
     schema = source.select("*", F.array().cast("array<int>").alias("ends")).schema
     cut = source.mapInArrow(_cut, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidyveil.llm import bpe, exact, secrets
+from tidyveil.llm import bpe, decontaminate, exact, secrets, simhash, toxicity
 from tidyveil.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -24,6 +24,21 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.tokens_by_document(table(spark, folder, "documents"), RANKS, PATTERN)
 
 
+@query("op3_toxicity")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_by_document(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_benchmark_decontamination", decontaminate.SQL)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.passages_by_document(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op5_simhash")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.groups_by_document(table(spark, folder, "documents"))
+
+
 @query("op9_exact_dedup", exact.SQL)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return exact.copies_by_document(table(spark, folder, "documents"))
