@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tidyveil.plans.lineage import shared_folder
 
-#: Bytes of text in one Arrow batch, and in one block that a task holds as Python objects.
-BATCH_BYTES, BLOCK_BYTES = 64 << 20, 8 << 20
+#: Bytes of text in one Arrow batch, and in one block that a task holds as Python objects; rows of a block.
+BATCH_BYTES, BLOCK_BYTES, BLOCK_ROWS = 64 << 20, 8 << 20, 60_000
 
 
 def text_of(name: str) -> Column:
@@ -60,5 +60,6 @@ def blocks(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = BLOCK_B
         while first < batch.num_rows:
             before = ends[first - 1] if first else 0
             last = max(first + 1, int(ends.searchsorted(before + most, side="right")))
+            last = min(last, first + BLOCK_ROWS)
             yield batch.slice(first, last - first)
             first = last

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidyveil.llm import bpe, decontaminate, exact, secrets, simhash, toxicity
+from tidyveil.llm import bpe, decontaminate, exact, pii, pitman_yor, secrets, simhash, toolcalls, toxicity, warc
 from tidyveil.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -39,6 +39,30 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.groups_by_document(table(spark, folder, "documents"))
 
 
+@query("op6_pitman_yor")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return pitman_yor.scores_by_document(table(spark, folder, "documents"))
+
+
+#: For a reproducible query only. A real key is a secret of the caller's, and gets into no plan that others can read.
+KEY = "an example, not a secret"
+
+
+@query("op7_feistel_pseudonyms")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pseudonyms_by_document(table(spark, folder, "documents"), KEY)
+
+
+@query("op8_arc_to_warc", warc.SQL)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.records_by_page(table(spark, folder, "pages"))
+
+
+@query("op10_tool_calls", toolcalls.SQL)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return toolcalls.calls_by_conversation(table(spark, folder, "conversations"))
+
+
 @query("op9_exact_dedup", exact.SQL)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return exact.copies_by_document(table(spark, folder, "documents"))
