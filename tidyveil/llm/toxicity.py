@@ -25,11 +25,14 @@ from tidyveil.llm.decontaminate import words_of
 #: Counts are kept in this many buckets, by hash of the prefix; a fixed size, so the model is bounded.
 BUCKETS = 1 << 20
 #: Bytes of the prefixes in the chain before the whole word; how many documents a prior counts for.
-PREFIXES, PRIOR = (3, 4, 5, 6, 7, 8), 3.0
+PREFIXES, PRIOR = (3, 4, 5, 6, 7, 8), 8.0
 #: Taken off every token's log-odds.
-DRIFT = 1.0
+DRIFT = 2.5
 #: A passage counts as significant below this chance of one as high in a clean document of equal length.
 CHANCE = 0.01
+#: The model is fitted on this many labelled documents at most, picked by hash of their id; fewer are all used. It bounds
+#: the table of labels that is broadcast, so no text is shuffled.
+MOST_LABELS = 100_000
 #: Calibration: bins of a document's evidence.
 LOW, HIGH, STEP = -20.0, 120.0, 0.5
 
@@ -231,16 +234,19 @@ def _fold(doc_id: str):
     return F.pmod(F.floor(F.crc32(F.col(doc_id).cast("string").cast("binary")) / 4), F.lit(2)).cast("long")
 
 
-def train_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on all labelled rows of ``docs``. Two folds of documents score each other for the calibration.
+def train_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_LABELS) -> Model:
+    """Fit on the labelled rows of ``docs``, ``most`` or so. Two folds of documents score each other for the calibration.
 
     Labels other than 0 and 1 are ignored; a document with several labels counts as toxic if one says so. Without labels
     all scores are low.
     """
     prepare(docs.sparkSession)
     known = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("__of")).agg(F.max(label).cast("long").alias("toxic"))
+    labelled = known.count()
+    if labelled > most:
+        known = known.filter(F.pmod(F.xxhash64("__of"), F.lit(1 << 20)) < int(most / labelled * (1 << 20)))
     rows = docs.select(F.col(doc_id).alias("id"), text_of(text).cast("binary").alias("body"))
-    train = stored(rows.join(known, F.col("id") == F.col("__of")).select("id", "body", "toxic", _fold("id").alias("fold")), "labelled")
+    train = stored(rows.join(F.broadcast(known), F.col("id") == F.col("__of")).select("id", "body", "toxic", _fold("id").alias("fold")), "labelled")
     folds = _count(train)
     crossed = stored(_crossed(train, folds), "crossed")
     both = Counts(*(getattr(folds[0], k) + getattr(folds[1], k) for k in ("toxic", "all", "n_toxic", "n_all")))
@@ -248,8 +254,10 @@ def train_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     return Model(both, tail, _levels(crossed, tail, (both.n_toxic + 0.1) / (both.n_all + 1)))
 
 
-def score_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep``, the score (0 to 1) of each text, and its significant passages.
+def score_texts(
+    docs: DataFrame, model: Model, keep: list[str], text: str = "text", score: str = "score", passages: str = "passages"
+) -> DataFrame:
+    """The columns ``keep``, the score (0 to 1) of each text, and its significant passages, under the names given.
 
     Passages are structs of start and end (exclusive), in words, score, and chance: how likely a clean text of this
     length has a passage as high. A missing or empty text has none and the lowest score; equal rows score alike.
@@ -262,17 +270,17 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "tex
         scores = _Scores(model.counts)
         for batch in blocks(batches, len(keep)):
             pair = pa.RecordBatch.from_arrays([batch.column(len(keep))] * 2, names=["x", "body"])
-            score, passages = [], []
+            values, places = [], []
             for n, found in _measured(pair, scores):
-                score.append(model.probability(model.evidence(n, [s for _, _, s in found])))
+                values.append(model.probability(model.evidence(n, [s for _, _, s in found])))
                 chances = [(a, b, s, float(-np.expm1(-np.exp(-model.tail.evidence(s, n))))) for a, b, s in found]
-                passages.append([dict(zip(("start", "end", "score", "chance"), x)) for x in chances if x[3] < CHANCE])
+                places.append([dict(zip(("start", "end", "score", "chance"), x)) for x in chances if x[3] < CHANCE])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(score, pa.float64()), pa.array(passages, pa.list_(one))], names=[*keep, "score", "passages"]
+                [*batch.columns[:-1], pa.array(values, pa.float64()), pa.array(places, pa.list_(one))], names=[*keep, score, passages]
             )
 
     parts = [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("chance", T.DoubleType())]
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("passages", T.ArrayType(T.StructType(parts)))])
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField(score, T.DoubleType()), T.StructField(passages, T.ArrayType(T.StructType(parts)))])
     return source.mapInArrow(run, schema)
 
 
@@ -280,6 +288,12 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "tex
 THRESHOLD = 0.3
 
 
+def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is not taken as toxic."""
+    scored = score_texts(docs, model, docs.columns, text, "__score", "__passages")
+    return scored.filter(F.col("__score") < THRESHOLD).select(docs.columns)
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
