@@ -166,8 +166,146 @@ def _(spark, folder):
     )
 
 
-@check("file_fingerprints")
+_LINE_SUMS = " || ':' || ".join(f"sum(('0x' || substr(d, {1 + 15 * i}, 15))::BIGINT)::VARCHAR" for i in range(4))
+
+
+@check(
+    "file_fingerprints",
+    f"""WITH l AS (SELECT o_orderpriority AS p, o_orderkey || ',' || o_orderstatus AS line, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS n FROM orders),
+        r AS (SELECT p, line, sha256(n || ':' || line) AS d FROM l)
+        SELECT p AS priority, sum(strlen(line) + 1)::BIGINT AS bytes, sha256(count(*) || ':' || {_LINE_SUMS}) AS digest FROM r GROUP BY p""",
+)
+def _(spark, folder):
+    path = scratch(spark, "lines")
+    line = F.concat_ws(",", "o_orderkey", "o_orderstatus").alias("value")
+    dealt = table(spark, folder, "orders").repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "o_orderkey")
+    dealt.select(line, "o_orderpriority").write.partitionBy("o_orderpriority").text(path)
+    priority = F.replace(F.regexp_extract("file", "o_orderpriority=([^/]+)/", 1), F.lit("%20"), F.lit(" "))
+    return file_fingerprints(spark, path).select(priority.alias("priority"), "bytes", "digest")
+
+
+def _two_headers(spark, folder):
+    """Orders by status: one folder of files with the columns in another order, one with a column more."""
+    path, orders = scratch(spark, "two.csv"), table(spark, folder, "orders")
+    write_csv(orders.filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey"), f"{path}/f")
+    write_csv(orders.filter("o_orderstatus = 'O'").select("o_custkey", "o_orderkey"), f"{path}/o")
+    write_csv(orders.filter("o_orderstatus NOT IN ('F', 'O')").select("o_custkey", "o_orderstatus", "o_orderkey"), f"{path}/p")
+    return path
+
+
+@check(
+    "csv_headers_in_other_order",
+    "SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN o_orderstatus END AS o_orderstatus FROM orders",
+)
+def _(spark, folder):
+    return read_csv(spark, _two_headers(spark, folder)).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@check("csv_ragged_rows_refused", "SELECT count(*) AS refused FROM orders WHERE o_orderstatus = 'P'")
+def _(spark, folder):
+    from tidyveil.errors import SanitizeError
+
+    path = scratch(spark, "ragged.csv")
+    more = F.when(F.col("o_orderstatus") == "P", ",more").otherwise("")
+    orders = table(spark, folder, "orders").coalesce(1).sortWithinPartitions(F.col("o_orderstatus") == "P")
+    orders.select(F.concat(F.col("o_orderkey"), F.lit(","), F.col("o_custkey"), more)).write.text(path)
+    try:
+        read_csv(spark, path, header_row=None)
+    except SanitizeError as exc:
+        return spark.createDataFrame([(int(str(exc).split(" ")[0]),)], "refused bigint")
+    raise AssertionError("rows with too many cells were read")
+
+
+@check("json_arrays_and_lines", "SELECT o_orderkey, o_custkey FROM orders")
+def _(spark, folder):
+    path, orders = scratch(spark, "mixed"), table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    write_json(orders.filter("o_orderpriority <> '5-LOW'").drop("o_orderpriority"), f"{path}/lines")
+    low = orders.filter("o_orderpriority = '5-LOW'").groupBy(F.pmod("o_custkey", F.lit(7)).alias("k")).agg(F.collect_list(F.struct("o_orderkey", "o_custkey")).alias("a"))
+    low.select(F.to_json("a").alias("value"), "k").repartition("k").write.partitionBy("k").text(f"{path}/arrays")
+    return read_json(spark, path).select("o_orderkey", "o_custkey")
+
+
+@check("csv_long_identifiers", "SELECT '10000000000000' || (10000000 + o_orderkey) AS id, o_custkey FROM orders")
+def _(spark, folder):
+    path = scratch(spark, "long.csv")
+    name = F.concat(F.lit("10000000000000"), F.col("o_orderkey") + 10000000).alias("id")
+    write_csv(table(spark, folder, "orders").select(name, "o_custkey"), path)
+    return read_csv(spark, path)
+
+
+@check(
+    "csv_mixed_layouts",
+    "SELECT c_custkey AS customer_key, c_name AS customer_name, CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment END AS segment FROM customer",
+)
 def _(spark, folder):
-    path = scratch(spark, "lines.csv")
-    write_csv(table(spark, folder, "lineitem"), path)
-    return file_fingerprints(spark, path).select("bytes", "digest")
+    from tidyveil.plans.job import read_table
+
+    path, customer = scratch(spark, "mixed.csv"), table(spark, folder, "customer")
+    write_csv(customer.filter("c_nationkey % 2 = 1").select(F.col("c_custkey").alias("customer_key"), F.col("c_name").alias("customer_name")), f"{path}/plain")
+    rows = customer.filter("c_nationkey % 2 = 0").select(F.lit(1).alias("at"), F.concat_ws(";", "c_name", "c_mktsegment", "c_custkey").alias("value"))
+    top = spark.createDataFrame([(0, "Customer report;;\nmade by hand;;\ncustomer_name;segment;customer_key")], "at int, value string")
+    rows.unionByName(top).coalesce(1).sortWithinPartitions("at").select("value").write.text(f"{path}/banner")
+    return read_table(spark, path, layout="auto").select("customer_key", "customer_name", "segment")
+
+
+def _orders_in_file(spark, folder, order):
+    """Orders as one file, in an order that their keys don't have."""
+    path = scratch(spark, "orders.csv")
+    picked = table(spark, folder, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice")).alias("price"))
+    write_csv(picked.coalesce(1).sortWithinPartitions(order), path)
+    return path
+
+
+@check("run_job_keeps_first", "SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
+def _(spark, folder):
+    from tidyveil.plans.steps import Step
+
+    source, target = _orders_in_file(spark, folder, F.desc("o_orderkey")), scratch(spark, "first.parquet")
+    run_job(spark, source, target, steps=[Step("REMOVE_DUPLICATES", {"subset": ["o_custkey"]})])
+    return spark.read.parquet(target).select("o_custkey", "o_orderkey")
+
+
+@check(
+    "run_job_forward_fill",
+    "SELECT o_orderkey, last_value(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END IGNORE NULLS) OVER (ORDER BY o_orderkey DESC) AS price FROM orders",
+)
+def _(spark, folder):
+    from tidyveil.plans.steps import Step
+
+    source, target = _orders_in_file(spark, folder, F.desc("o_orderkey")), scratch(spark, "filled.parquet")
+    run_job(spark, source, target, steps=[Step("FILL_MISSING", {"column": "price", "strategy": "forward"})])
+    return spark.read.parquet(target).select("o_orderkey", "price")
+
+
+@check("job_skip_audit", "SELECT 'incomplete' AS status, count(*) AS row_count, 1 AS failed, true AS hidden FROM customer")
+def _(spark, folder):
+    from tidyveil.plans.steps import Step
+
+    source, target, audit = scratch(spark, "customer.csv"), scratch(spark, "skipped.parquet"), scratch(spark, "audit")
+    write_csv(table(spark, folder, "customer"), source)
+    steps = [Step("RENAME_COLUMNS", {"mapping": {"c_custkey": "c_name"}}), Step("REDACT_COLUMN", {"column": "c_name"})]
+    run_job(spark, source, target, steps=steps, on_error="skip", audit_path=audit)
+    shown = spark.read.parquet(target).agg((F.max("c_name") == F.min("c_name")).alias("hidden"))
+    failed = F.size(F.filter("steps", lambda s: ~s["success"])).alias("failed")
+    return job_history(spark, audit).select("status", "row_count", failed).crossJoin(F.broadcast(shown))
+
+
+@check(
+    "guarded_write",
+    "SELECT * FROM (VALUES (1, 'out.parquet', (SELECT count(*) FROM region)), (2, 'out (2).parquet', (SELECT count(*) FROM region)), "
+    "(3, 'out.parquet', (SELECT count(*) FROM nation)), (4, 'refused', NULL)) AS t(turn, name, \"rows\")",
+)
+def _(spark, folder):
+    from tidyveil.errors import OutputError
+
+    source, small, target = scratch(spark, "nation.csv"), scratch(spark, "region.csv"), scratch(spark, "out.parquet")
+    write_csv(table(spark, folder, "nation"), source)
+    write_csv(table(spark, folder, "region"), small)
+    turns = []
+    for turn, (path, on_exists) in enumerate([(small, "version"), (small, "version"), (source, "replace"), (source, "error")], start=1):
+        try:
+            record = run_job(spark, path, target, on_exists=on_exists).first()
+            turns.append((turn, record["output_path"].rsplit("/", 1)[1], spark.read.parquet(record["output_path"]).count()))
+        except OutputError:
+            turns.append((turn, "refused", None))
+    return spark.createDataFrame(turns, "turn int, name string, rows bigint")

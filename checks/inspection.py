@@ -156,3 +156,17 @@ _TAIL = "CASE WHEN length({c}) <= 4 THEN repeat('*', length({c})) ELSE repeat('*
 )
 def _(spark, folder):
     return tv.auto_protect(people(spark, folder), {"host": "remove", "salary": "skip"})
+
+
+@check(
+    "detect_with_examples",
+    "SELECT 'contact' AS \"column\", 'email' AS category, list(mail ORDER BY mail) AS sample_matches FROM "
+    "(SELECT DISTINCT 'user' || c_custkey || '@example.com' AS mail FROM customer WHERE c_custkey > (SELECT max(c_custkey) / 2 FROM customer) ORDER BY mail LIMIT 5)",
+)
+def _(spark, folder):
+    """A column whose first half is empty."""
+    customer = table(spark, folder, "customer")
+    half = customer.agg(F.max("c_custkey") / 2).scalar()
+    mail = F.when(F.col("c_custkey") > half, F.concat(F.lit("user"), F.col("c_custkey"), F.lit("@example.com")))
+    found = tv.detect_sensitive_columns(customer.select(mail.alias("contact"), "c_nationkey"), with_examples=True)
+    return found.select("column", "category", "sample_matches")

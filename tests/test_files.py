@@ -170,13 +170,95 @@ def test_table_fingerprints(spark):
         assert table_fingerprint(df.filter("false"), strong).first()["rows"] == 0
 
 
+def _sealed(data: bytes) -> str:
+    """The digest by its definition, without Spark."""
+    lines = data.split(b"\n")[: -1 if data.endswith(b"\n") or not data else None]
+    hashes = [hashlib.sha256(b"%d:%s" % (i, line)).hexdigest() for i, line in enumerate(lines)]
+    sums = [sum(int(h[15 * k : 15 * k + 15], 16) for h in hashes) for k in range(4)]
+    return hashlib.sha256(":".join(map(str, [len(lines), *sums])).encode()).hexdigest()
+
+
 def test_file_fingerprints(spark, tmp_path):
-    path = put(tmp_path, "x.csv", "a\n1\n")
-    digest = hashlib.sha256(b"a\n1\n").hexdigest()
-    assert files_fingerprint(spark, path) == digest
-    assert file_fingerprints(spark, path).first()["digest"] == digest
-    large = file_fingerprints(spark, path, whole_file_bytes=2).first()
-    assert large["bytes"] == 4 and large["digest"] != digest
+    digests = set()
+    for k, data in enumerate([b"a\n1\n", b"a\n1", b"1\na\n", b"a\r\n1\n", b"", b"\xff\x00\n\xfe"]):
+        rows = file_fingerprints(spark, put(tmp_path, f"x{k}.csv", data)).collect()
+        assert [(r["bytes"], r["digest"]) for r in rows] == [(len(data), _sealed(data))] * bool(data)
+        digests.add(files_fingerprint(spark, str(tmp_path / f"x{k}.csv")))
+    assert len(digests) == 6
+    path = put(tmp_path, "long.csv", "".join(f"{i} {'x' * (i % 50)}\n" for i in range(5000)))
+    whole = files_fingerprint(spark, path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert files_fingerprint(spark, path) == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_every_file_has_its_own_header(spark, tmp_path):
+    folder = tmp_path / "own"
+    folder.mkdir()
+    put(folder, "a.csv", "a,b\n1,x\n")
+    put(folder, "b.csv", "b,a\ny,2\n")
+    put(folder, "c.csv", "a,c,b\n3,true,z\n")
+    got = {tuple(r) for r in read_csv(spark, str(folder)).select("a", "b", "c").collect()}
+    assert got == {(1, "x", None), (2, "y", None), (3, "z", True)}
+    by_file = read_csv(spark, str(folder), row_order=True).orderBy(*ROW_ORDER)
+    assert [r["a"] for r in by_file.collect()] == [1, 2, 3]
+
+
+def test_nothing_is_lost_in_silence(spark, tmp_path):
+    ragged = put(tmp_path, "r.csv", "a,b\n1,2\n3,4,5\n6\n")
+    with pytest.raises(SanitizeError, match="1 rows"):
+        read_csv(spark, ragged)
+    assert sorted(map(tuple, read_csv(spark, ragged, ragged="cut").collect()))[:2] == [(1, 2), (3, 4)]
+    with pytest.raises(SanitizeError, match="multi_line"):
+        read_csv(spark, put(tmp_path, "q.csv", 'a,b\n1,"x\ny"\n'))
+    assert read_csv(spark, put(tmp_path, "i.csv", 'a,b\n1,5" pipe\n')).first()["b"] == '5" pipe'
+    long = put(tmp_path, "l.csv", "id,n\n123456789012345678901,1\n123456789012345678902,2\n")
+    assert [r["id"] for r in read_csv(spark, long).orderBy("n").collect()] == ["123456789012345678901", "123456789012345678902"]
+    with pytest.raises(SanitizeError, match="binary"):
+        write_csv(spark.sql("SELECT 1 AS a, X'00' AS b"), str(tmp_path / "never.csv"))
+
+
+def test_json_is_decided_by_file(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    put(folder, "a.json", '[{"a":1},{"a":2}]')
+    put(folder, "b.json", '{"a":3}\n{"a":4}\n{"a":5}')
+    put(folder, "c.json", '[{"a":6}]\n[{"a":7},{"a":8}]\n')
+    assert sorted(r["a"] for r in read_json(spark, str(folder)).collect()) == list(range(1, 9))
+
+
+def test_layouts_are_found_by_file(spark, tmp_path):
+    from tidyveil.plans.job import read_table
+
+    folder = tmp_path / "layouts.csv"
+    folder.mkdir()
+    put(folder, "a.csv", "Name,City\nAnn,Ulm\nBob,Bonn\n")
+    put(folder, "b.csv", "Report;;\nby hand;;\nCity;Name;Note\nKiel;Cyd;x\n")
+    got = {tuple(r) for r in read_table(spark, str(folder), layout="auto").select("Name", "City").collect()}
+    assert got == {("Ann", "Ulm"), ("Bob", "Bonn"), ("Cyd", "Kiel")}
+
+
+def test_jobs_follow_the_order_of_the_file(spark, tmp_path):
+    source = put(tmp_path, "o.csv", "k,v\n1,9\n1,2\n2,\n,5\n,5\n")
+    keep = [Step("SELECT_COLUMNS", {"columns": ["v", "k"]}), Step("REMOVE_EMPTY_ROWS"), Step("REMOVE_DUPLICATES", {"subset": ["k"]})]
+    record = run_job(spark, source, str(tmp_path / "k.parquet"), steps=keep).first()
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "k.parquet")).collect())) == ["Row(v=5, k=None)", "Row(v=9, k=1)", "Row(v=None, k=2)"]
+    assert [(s["cols_before"], s["cols_after"]) for s in record["steps"]] == [(2, 2)] * 3
+    run_job(spark, source, str(tmp_path / "f.parquet"), steps=[Step("FILL_MISSING", {"column": "v", "strategy": "forward"}), Step("REMOVE_DUPLICATES")])
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "f.parquet")).collect())) == sorted(["Row(k=1, v=9)", "Row(k=1, v=2)", "Row(k=2, v=2)", "Row(k=None, v=5)"])
+
+
+def test_a_job_never_leaves_out_protection(spark, tmp_path):
+    source, target = put(tmp_path, "s.csv", "k,secret\n1,abc\n"), str(tmp_path / "t.csv")
+    with pytest.raises(StepError):
+        run_job(spark, source, target, steps=[Step("HASH_COLUMN", {"column": "secret", "algorithm": "crc"})], on_error="skip")
+    assert not os.path.exists(target)
+    other = run_job(spark, source, target, steps=[Step("RENAME_COLUMNS", {"mapping": {"k": "secret"}})], on_error="skip").first()
+    assert other["status"] == "incomplete"
 
 
 def test_job(spark, tmp_path):
@@ -187,7 +269,7 @@ def test_job(spark, tmp_path):
         assert os.path.basename(record["output_path"]) == expected
         assert (record["status"], record["row_count"], record["column_count"]) == ("success", 3, 2)
         assert [(s["rows_before"], s["rows_after"]) for s in record["steps"]] == [(4, 4), (4, 3), (3, 3)]
-        assert record["source_hash"] == hashlib.sha256(STAFF.encode()).hexdigest() and len(record["output_hash"]) == 64
+        assert record["source_hash"] == files_fingerprint(spark, source) and len(record["output_hash"]) == 64
     with pytest.raises(StepError):
         run_job(spark, source, str(tmp_path / "never.csv"), steps=[Step("MASK_COLUMN", {"column": "gone"})], audit_path=audit)
     with pytest.raises(OutputError):

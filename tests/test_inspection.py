@@ -34,7 +34,7 @@ def test_detection(staff):
 
 
 def test_examples_come_only_on_request(staff):
-    shown = tv.detect_sensitive_columns(staff, with_examples=True, sample_rows=200).collect()
+    shown = tv.detect_sensitive_columns(staff, with_examples=True).collect()
     by_column = {r["column"]: r["sample_matches"] for r in shown}
     assert len(by_column["contact"]) == 5 and by_column["first_name"] == []
 

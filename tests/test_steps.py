@@ -83,6 +83,10 @@ def test_run_and_metrics(table):
 def test_failing_steps_stop_or_are_skipped(table, step):
     with pytest.raises((StepError, ValueError)):
         tv.run_steps(table, [step])
+    if step.transform_type in ("MASK_COLUMN", "HASH_COLUMN", "BURN"):  # to go on would publish what it hides
+        with pytest.raises((StepError, ValueError)):
+            tv.run_steps(table, [step], on_error="skip")
+        return
     result = tv.run_steps(table, [step, Step("REDACT_COLUMN", {"column": "pay"})], on_error="skip")
     assert not result.success
     assert {r["pay"] for r in result.data.collect()} == {"[REDACTED]"}

@@ -109,3 +109,6 @@ STRFTIME_TO_SPARK = {
     "f": "SSSSSS", "p": "a", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "j": "DDD",
     "F": "yyyy-MM-dd", "T": "HH:mm:ss", "R": "HH:mm", "D": "MM/dd/yy",
 }
+
+# Our own: columns that tell where a row stands in the files it comes from. They are no data.
+ROW_ORDER = ["__file", "__block", "__row_id"]

@@ -129,7 +129,7 @@ def text_column(df: DataFrame, name: str) -> Column:
 
 def text_to_double(c: Column) -> Column:
     """Plain decimal text as a double; anything else NULL (``12d``, ``1_000``, ``nan`` included)."""
-    bare = F.trim(c)
+    bare = strip(c)
     return F.when(bare.rlike(PLAIN_NUMBER), bare.try_cast("double"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,6 @@ from tidyveil.constants import (
     HIGH_CONFIDENCE,
     MEDIUM_CONFIDENCE,
     NAME_RULES,
-    PREVIEW_ROWS,
     VALUE_RATE_NEEDED,
     VALUE_RULES,
 )
@@ -62,18 +62,15 @@ def _stripped_text(field: T.StructField) -> Column:
     return strip(text) if isinstance(field.dataType, T.StringType) else text
 
 
-def value_pattern_rates(
-    df: DataFrame, sample_rows: int | None = None, skip_numeric_and_dates: bool = False
-) -> DataFrame:
+def value_pattern_rates(df: DataFrame, skip_numeric_and_dates: bool = False) -> DataFrame:
     """(position, column, category, total, matching, rate) for every flat column and value pattern.
 
-    One aggregate over the whole table, or over its first ``sample_rows`` rows if given.
+    One aggregate over the whole table.
     """
-    source = df if sample_rows is None else df.limit(sample_rows)
     fields = _scannable(df, skip_numeric_and_dates)
     if not fields:
         return df.sparkSession.createDataFrame([], _RATE_SCHEMA)
-    texts = source.select(*[_stripped_text(f).alias(f"t{i}") for i, f in fields])
+    texts = df.select(*[_stripped_text(f).alias(f"t{i}") for i, f in fields])
     figures, lines = [], []  # as SQL text: one expression to parse instead of thousands of calls
     for i, f in fields:
         figures.append(F.expr(f"count(t{i})").alias(f"n{i}"))
@@ -87,28 +84,30 @@ def value_pattern_rates(
     return texts.agg(*figures).select(F.expr(f"inline(array({', '.join(lines)}))"))
 
 
-def _examples(df: DataFrame, skip_numeric_and_dates: bool, rows: int) -> DataFrame:
-    """(column, category, sample_matches): up to five matching values from the first ``rows`` rows."""
-    shown = df.limit(rows)
-    fields = _scannable(df, skip_numeric_and_dates)
-    texts = shown.select(*[as_text(ref(f.name), f.dataType).alias(f"t{i}") for i, f in fields])
-    lists, lines = [], []
-    for i, f in fields:
-        for category, pattern, _, _ in VALUE_RULES:
-            lists.append(
-                F.collect_list(F.when(strip(F.col(f"t{i}")).rlike(pattern), F.col(f"t{i}"))).alias(f"s{i}_{category}")
-            )
-            lines.append(
-                f"struct({sql_text(f.name)} AS column, '{category}' AS category, "
-                f"slice(s{i}_{category}, 1, {EXAMPLES}) AS sample_matches)"
-            )
-    return texts.agg(*lists).select(F.expr(f"inline(array({', '.join(lines)}))"))
+def _examples(df: DataFrame, found: DataFrame) -> DataFrame:
+    """(column, category, sample_matches): the five least matching values of each detected column and category.
+
+    A top-k over the whole table for each pair; there is at most one pair for each column.
+    """
+    fields, patterns = {f.name: f for f in df.schema.fields}, {rule[0]: rule[1] for rule in VALUE_RULES}
+    parts = []
+    for row in found.filter("turn > 0").select("column", "category").collect():
+        field = fields[row["column"]]
+        text = as_text(ref(field.name), field.dataType)
+        worth = F.expr(_WORTH_TRYING[row["category"]].format(t="s"))
+        hits = df.select(text.alias("t"), strip(text).alias("s")).filter(worth & F.col("s").rlike(patterns[row["category"]])).select("t").distinct()
+        parts.append(
+            hits.orderBy("t").limit(EXAMPLES).agg(F.sort_array(F.collect_list("t")).alias("sample_matches"))
+            .select(F.lit(row["column"]).alias("column"), F.lit(row["category"]).alias("category"), "sample_matches")
+        )
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, category string, sample_matches array<string>")
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def detect_sensitive_columns(
     df: DataFrame,
     min_confidence: float = CONFIDENCE_NEEDED,
-    sample_rows: int | None = None,
     skip_numeric_and_dates: bool = False,
     with_examples: bool = False,
 ) -> DataFrame:
@@ -117,7 +116,7 @@ def detect_sensitive_columns(
     Columns: column, category, category_label, confidence, confidence_label, reason,
     suggested_action, and with ``with_examples`` also sample_matches (raw values: handle with care).
     A column's best evidence counts, the earlier rule on a tie. Values are judged over the whole
-    table unless ``sample_rows`` is given.
+    table, and examples are its least matching values, each once.
     """
     spark = df.sparkSession
     by_name = spark.createDataFrame(name_matches(df.columns), _DETECTION_SCHEMA).withColumn("turn", F.lit(0))
@@ -127,7 +126,7 @@ def detect_sensitive_columns(
     )
     rule = F.expr(f"element_at(map({rules}), category)")
     by_value = (
-        value_pattern_rates(df, sample_rows, skip_numeric_and_dates)
+        value_pattern_rates(df, skip_numeric_and_dates)
         .filter(F.col("rate") >= VALUE_RATE_NEEDED)
         .select(
             "position",
@@ -162,10 +161,9 @@ def detect_sensitive_columns(
         "turn",
     )
     shown = ["column", "category", "category_label", "confidence", "confidence_label", "reason", "suggested_action"]
-    if with_examples and _scannable(df, skip_numeric_and_dates):
-        examples = _examples(df, skip_numeric_and_dates, sample_rows or PREVIEW_ROWS)
-        result = result.join(examples, ["column", "category"], "left").withColumn(
-            "sample_matches", F.when(F.col("turn") > 0, F.col("sample_matches")).otherwise(F.array().cast("array<string>"))
-        )
+    if with_examples:
+        examples = _examples(df, result)
+        none = F.array().cast("array<string>")
+        result = result.join(examples, ["column", "category"], "left").withColumn("sample_matches", F.coalesce("sample_matches", none))
         shown.append("sample_matches")
     return result.orderBy(F.col("confidence").desc(), "position").select(*shown)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidyveil.constants import ROW_ORDER
 from tidyveil.errors import StepError
 from tidyveil.functions.columns import has_column, is_blank, ref, squeeze, without_nan
 
@@ -29,9 +30,8 @@ def trim_whitespace(df: DataFrame) -> DataFrame:
 
 def remove_empty_rows(df: DataFrame) -> DataFrame:
     """Drop rows in which every cell is missing or blank."""
-    if not df.columns:
-        return df
-    return df.filter(~reduce(and_, [is_blank(ref(f.name), f.dataType) for f in df.schema.fields]))
+    cells = [is_blank(ref(f.name), f.dataType) for f in df.schema.fields if f.name not in ROW_ORDER]
+    return df.filter(~reduce(and_, cells)) if cells else df
 
 
 def remove_empty_columns(df: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def remove_duplicates(
     keep: str | bool = "first",
     order_by: list[str] | None = None,
 ) -> DataFrame:
-    """One row per distinct ``subset`` (default: all columns); missing values are equal to each other.
+    """One row per distinct ``subset`` (default: all columns but ``ROW_ORDER``); missing values are equal to each other.
 
     ``keep`` is ``"first"`` or ``"last"`` in ``order_by``, or ``False`` to drop every row that has a
     double. Rows alike in ``order_by`` are told apart by their other columns, so the outcome does
@@ -70,7 +70,7 @@ def remove_duplicates(
     """
     if keep not in ("first", "last", False):
         raise StepError(f"keep must be 'first', 'last' or False, not {keep!r}")
-    keys = df.columns if subset is None else list(subset)
+    keys = [c for c in df.columns if c not in ROW_ORDER] if subset is None else list(subset)
     for name in [*keys, *(order_by or [])]:
         if not has_column(df, name):
             raise StepError(f"no column named {name!r}")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidyveil.constants import ROW_ORDER
 from tidyveil.errors import StepError
 from tidyveil.functions.columns import (
     as_text,
@@ -75,7 +76,7 @@ def filter_rows(df: DataFrame, column: str, operator: str, value: Any, literal:
 def search_rows(df: DataFrame, query: str) -> DataFrame:
     """Keep rows in which any cell's text holds ``query``, letter case aside."""
     wanted = query.strip().lower()
-    cells = [as_text(ref(f.name), f.dataType) for f in df.schema.fields if not is_nested(f.dataType)]
+    cells = [as_text(ref(f.name), f.dataType) for f in df.schema.fields if f.name not in ROW_ORDER and not is_nested(f.dataType)]
     if not wanted or not cells:
         return df
     hits = [F.coalesce(F.lower(cell).contains(wanted), F.lit(False)) for cell in cells]

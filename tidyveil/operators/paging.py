@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidyveil.constants import PAGE_SIZES, PREVIEW_ROWS
 from tidyveil.errors import StepError
-from tidyveil.functions.columns import ref
+from tidyveil.functions.columns import need_flat, ref
 from tidyveil.operators.ordering import row_numbers_between
 
 TOP_K_ROWS = 10_000
@@ -32,6 +32,8 @@ def page(df: DataFrame, number: int, page_size: int, order_by: list[str]) -> tup
         raise StepError(f"page_size must be one of {PAGE_SIZES}")
     if not order_by:
         raise StepError("paging needs order_by")
+    for name in order_by:
+        need_flat(df, name)
     pages = page_count(df.count(), page_size)
     number = number if 0 <= number < pages else 0
     first, last = number * page_size + 1, (number + 1) * page_size

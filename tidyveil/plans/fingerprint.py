@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidyveil.functions.columns import as_text, is_nested, ref
 
-WHOLE_FILE_BYTES = 1 << 30  # larger files are hashed line by line, as no task can hold them
 _PIECE = 15  # hexadecimal digits that fit a bigint
 
 
@@ -61,37 +60,32 @@ def table_fingerprint(df: DataFrame, strong: bool = False) -> DataFrame:
     )
 
 
-def file_fingerprints(spark: SparkSession, path: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """(file, bytes, digest): SHA-256 of each file.
+def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes, digest) of each file under ``path``, by one rule for every size.
 
-    Files above ``whole_file_bytes`` are cut into lines, spread over tasks, and get a digest of the
-    order-free sum of their lines' digests instead.
+    The digest seals the sums of the SHA-256 of every line with its number before it, from 0, and the number of lines; lines end at
+    line feeds, and carriage returns belong to them. Spark lists no empty files. Moving, changing, adding or re-encoding a line changes it, as
+    does, through the bytes, an end of line more or less. Files are split over tasks; it does not depend on how.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    small = listed.filter(F.col("length") <= whole_file_bytes).select(
-        F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest")
-    )
     lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .text(path)
-        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
-        .filter(F.col("bytes") > whole_file_bytes)
-        .select("file", "bytes", F.sha2("value", 256).alias("d"))
+        spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
+        .select(
+            F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"),
+            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"),
+        )
     )
-    large = (
-        lines.groupBy("file", "bytes")
-        .agg(F.count(F.lit(1)).alias("n"), *_sums(F.col("d")))
-        .select("file", "bytes", _seal(F.col("n")).alias("digest"))
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select(F.col("file").alias("of"), F.col("block").alias("at"), (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    number = (F.col("id") + F.col("shift")).cast("string").cast("binary")
+    hashed = lines.join(starts, (F.col("file") == F.col("of")) & (F.col("block") == F.col("at"))).select(
+        "file", "bytes", F.sha2(F.concat(number, F.lit(b":"), F.col("value")), 256).alias("d")
     )
-    return small.unionByName(large)
+    return hashed.groupBy("file", "bytes").agg(F.count(F.lit(1)).alias("n"), *_sums(F.col("d"))).select("file", "bytes", _seal(F.col("n")).alias("digest"))
 
 
 def files_fingerprint(spark: SparkSession, path: str) -> str:
-    """One digest for all files under ``path``: the file's own SHA-256 if there is just one."""
-    row = (
-        file_fingerprints(spark, path)
-        .agg(F.count(F.lit(1)).alias("files"), F.min("digest").alias("only"), *_sums(F.col("digest")))
-        .select(F.when(F.col("files") == 1, F.col("only")).otherwise(_seal(F.col("files"))).alias("digest"))
-        .first()
-    )
+    """One digest for all files under ``path``, whatever their names."""
+    each = F.sha2(F.concat_ws(":", "bytes", "digest"), 256)
+    row = file_fingerprints(spark, path).select(each.alias("d")).agg(F.count(F.lit(1)).alias("files"), *_sums(F.col("d"))).select(_seal(F.col("files")).alias("digest")).first()
     return row["digest"]

@@ -10,14 +10,17 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidyveil.constants import ROW_ORDER
 from tidyveil.errors import SanitizeError
 from tidyveil.operators.projection import select_columns
 from tidyveil.plans.fingerprint import files_fingerprint
+from tidyveil.plans.lineage import cut_lineage
 from tidyveil.plans.runner import run_steps
-from tidyveil.plans.steps import Step
+from tidyveil.plans.steps import Step, load_steps, needs_order
 from tidyveil.sources import files
 from tidyveil.sources.layout import detect_layout
 from tidyveil.sources.paths import check_written, exists, safe_output
+from tidyveil.sources.rows import with_row_id
 
 AUDIT_SCHEMA = (
     "job_id string, source_path string, output_path string, source_hash string, output_hash string, "
@@ -36,23 +39,38 @@ def format_of(path: str) -> str:
     return _FORMATS[suffix]
 
 
-def read_table(spark: SparkSession, path: str, kind: str | None = None, **options: Any) -> DataFrame:
-    """Read by suffix. ``layout="auto"`` finds header row and delimiter of delimited files first."""
+def read_table(spark: SparkSession, path: str, kind: str | None = None, row_order: bool = False, **options: Any) -> DataFrame:
+    """Read by suffix. ``layout="auto"`` finds header row and delimiter of each delimited file first.
+
+    Files of different layout are read each in its own and put together by column name. ``row_order`` adds the columns
+    ``ROW_ORDER``.
+    """
     kind = kind or format_of(path)
     layout = options.pop("layout", None)
     if kind == "parquet":
-        return spark.read.parquet(path)
+        table = spark.read.parquet(path)
+        return with_row_id(table) if row_order else table
     if kind == "json":
-        return files.read_json(spark, path)
+        return files.read_json(spark, path, row_order)
     options.setdefault("delimiter", "," if kind == "csv" else "\t")
-    if layout == "auto":
-        # One layout for all files of a table: the one found most often.
-        found = detect_layout(spark, path).groupBy("header_row", "delimiter").count()
-        best = found.orderBy(F.col("count").desc(), "header_row").first()
-        if best is not None:
-            options["header_row"] = best["header_row"]
-            options["delimiter"] = best["delimiter"] or options["delimiter"]
-    return files.read_delimited(spark, path, **options)
+    if layout != "auto":
+        return files.read_delimited(spark, path, row_order=row_order, **options)
+    found = cut_lineage(detect_layout(spark, path).withColumn("delimiter", F.coalesce("delimiter", F.lit(options["delimiter"]))))
+    layouts = found.groupBy("header_row", "delimiter").agg(F.min("file").alias("first")).orderBy("first").collect()
+    infer = options.pop("infer_types", True)
+    parts = []
+    for each in layouts:
+        own: str | list[str] = path
+        if len(layouts) > 1:
+            same = found.filter((F.col("header_row") == each["header_row"]) & (F.col("delimiter") == each["delimiter"]))
+            own = sorted(files.plain_path(r["file"]) for r in same.select("file").collect())
+        parts.append(files.read_text_table(spark, own, row_order=row_order, **(options | {"header_row": each["header_row"], "delimiter": each["delimiter"]})))
+    if not parts:
+        raise SanitizeError(f"no lines at {path!r}")
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part, allowMissingColumns=True)
+    return files.inferred(table) if infer else table
 
 
 def write_table(df: DataFrame, path: str, kind: str | None = None, mode: str = "errorifexists", delimiter: str | None = None) -> None:
@@ -82,7 +100,7 @@ def run_job(
     """Run a job and return its audit record, one row; also appended at ``audit_path`` if given.
 
     The record is kept on failure too, before the error is raised again. Rows are counted from the
-    output as written, and the source's fingerprint is taken before and after: if it changed while
+    output as written. A job that left out a failed step has status ``incomplete``, never ``success``. The source's fingerprint is taken before and after: if it changed while
     the job ran, the job fails.
     """
     started = datetime.now(timezone.utc)
@@ -99,13 +117,17 @@ def run_job(
         if fingerprints:
             record["source_hash"] = files_fingerprint(spark, source)
         options = dict(read_options or {})
-        table = read_table(spark, source, **options)
+        todo = load_steps(steps) if steps else []
+        # Steps that depend on the order of rows follow that of the files, unless told otherwise.
+        in_file_order = order_by is None and any(map(needs_order, todo))
+        table = read_table(spark, source, row_order=in_file_order, **options)
         if columns:
-            table = select_columns(table, columns)
+            table = select_columns(table, [*columns, *(ROW_ORDER if in_file_order else [])])
         data = table
+        failed = False
         if steps:
-            result = run_steps(table, steps, on_error, require_columns, order_by)
-            data = result.data
+            result = run_steps(table, todo, on_error, require_columns, ROW_ORDER if in_file_order else order_by)
+            data, failed = result.data.drop(*ROW_ORDER) if in_file_order else result.data, not result.success
             record["steps"] = [r.asDict() for r in result.metrics().collect()]  # a row per step
             lines = [f"{'ok' if m['success'] else 'FAILED'} {m['step']}. {m['step_name']}: rows {m['rows_before']} -> {m['rows_after']}, columns {m['cols_before']} -> {m['cols_after']}" for m in record["steps"]]
             record["summary"] = "\n".join(lines)
@@ -117,7 +139,7 @@ def run_job(
             record["output_hash"] = files_fingerprint(spark, target)
             if files_fingerprint(spark, source) != record["source_hash"]:
                 raise SanitizeError("the source changed while the job ran")
-        record["status"] = "success"
+        record["status"] = "incomplete" if failed else "success"
     except KeyboardInterrupt:
         record["status"], record["error_message"] = "cancelled", "cancelled by the user"
         raise

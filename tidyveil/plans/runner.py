@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tidyveil.constants import ROW_ORDER
 from tidyveil.errors import StepError
 from tidyveil.functions.columns import has_column
+from tidyveil.operators.projection import select_columns
 from tidyveil.plans.lineage import cut_lineage
 from tidyveil.plans.steps import (
     Step,
@@ -20,6 +22,7 @@ from tidyveil.plans.steps import (
     is_row_local,
     kind_of_step,
     load_steps,
+    protects,
     title_of,
 )
 from tidyveil.streaming.guard import check_streamable
@@ -107,12 +110,16 @@ class StepsResult:
                 line += f", error: {o.error}"
             lines.append(line)
         lines.append(f"rows {rows[0]} -> {rows[len(self.stages) - 1]}")
-        lines.append(f"columns {self.cols_before} -> {len(self.data.columns)}")
+        lines.append(f"columns {self.cols_before} -> {_width(self.data)}")
         if total_seconds is not None:
             lines.append(f"total {total_seconds:.3f} s")
         return "\n".join(lines)
 
 
+def _width(df: DataFrame) -> int:
+    return sum(c not in ROW_ORDER for c in df.columns)
+
+
 def _check_columns(df: DataFrame, step: Step, params: dict[str, Any], require_columns: bool) -> None:
     kind = kind_of_step(step)
     name = params.get(kind.column_param)
@@ -126,7 +133,11 @@ def _apply(df: DataFrame, step: Step, order_by: list[str] | None, require_column
     if accepts(step, "stats_from"):
         params["stats_from"] = stats_from
     if order_by and accepts(step, "order_by") and params.get("order_by") is None:
-        params["order_by"] = [c for c in order_by if has_column(df, c)] or None
+        if gone := [c for c in order_by if not has_column(df, c)]:
+            raise StepError(f"{title_of(step)}: no column to order by named {gone}")
+        params["order_by"] = list(order_by)
+    if order_by == ROW_ORDER and kind_of_step(step).function is select_columns:
+        params["columns"] = [*params["columns"], *ROW_ORDER]  # they are dropped after the last step
     result = kind_of_step(step).function(df, **params)
     result.schema  # resolve now, so that an error is this step's
     return result
@@ -142,9 +153,9 @@ def run_steps(
     """Apply the enabled steps in order; ``.data`` of the result is the planned table.
 
     ``on_error="fail"`` stops at a step that cannot be applied; ``"skip"`` records it and goes on
-    without it. With ``require_columns`` a privacy step whose column is absent is such an error,
+    without it, unless the step is there to protect values: going on would publish them. With ``require_columns`` a privacy step whose column is absent is such an error,
     where otherwise it would quietly protect nothing. ``order_by`` is the row order for steps that
-    need one and name none.
+    need one and name none; each has to be there when such a step comes.
 
     Column statistics are read from the last table that still has the same values in that column,
     so a run of such steps scans the source once per step, not once per step and each one before.
@@ -178,10 +189,10 @@ def run_steps(
             current = _apply(current, step, order_by, require_columns, stats_from)
             scans += extra
         except (StepError, AnalysisException, TypeError, ValueError) as exc:
-            if on_error == "fail":
+            if on_error == "fail" or protects(step):
                 raise
             outcomes.append(
-                StepOutcome(title_of(step), len(before.columns), len(before.columns), False, str(exc), stage_before, stage_before)
+                StepOutcome(title_of(step), _width(before), _width(before), False, str(exc), stage_before, stage_before)
             )
             continue
         if changes_rows(step):
@@ -191,6 +202,6 @@ def run_steps(
         else:
             unchanged_since[column] = (current, scans)
         outcomes.append(
-            StepOutcome(title_of(step), len(before.columns), len(current.columns), True, None, len(stages) - 1, stage_before)
+            StepOutcome(title_of(step), _width(before), _width(current), True, None, len(stages) - 1, stage_before)
         )
-    return StepsResult(current, outcomes, stages, len(df.columns))
+    return StepsResult(current, outcomes, stages, _width(df))

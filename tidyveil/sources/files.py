@@ -13,29 +13,24 @@ from pyspark.sql import types as T
 from tidyveil.constants import MISSING_TOKENS
 from tidyveil.errors import SanitizeError
 from tidyveil.functions.columns import PLAIN_NUMBER, as_text, ref
-from tidyveil.sources.lines import as_latin1, file_encodings, numbered_lines, without_head
+from tidyveil.plans.lineage import cut_lineage
+from tidyveil.sources.lines import as_latin1, head_lines, numbered_lines, without_head
+from tidyveil.sources.rows import ROW_ORDER, with_row_id
 
 _WHOLE = r"^[+-]?\d+$"
 _REAL = r"(?i)^[+-]?(inf|infinity)$"
+_BEYOND = "__beyond_the_header"
+#: Files with more different headers than this are not one table.
+_MOST_GROUPS = 1000
 _TRUTH = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
-def _plain_path(uri: str) -> str:
+def plain_path(uri: str) -> str:
     """Spark names files by encoded URI; readers take the path itself."""
     scheme, _, rest = unquote(uri).rpartition(":")
     return f"{scheme}:{re.sub('^/+', '/', rest) if scheme == 'file' else rest}" if scheme else rest
 
 
-def _header_cells(spark: SparkSession, file: str, row: int, delimiter: str, latin1: bool) -> list[str]:
-    """The cells of one of a file's first lines; reads those lines only."""
-    head = numbered_lines(spark, file).filter("block = 0")
-    value = as_latin1() if latin1 else F.col("value")
-    lines = head.select(value.alias("value")).take(row + 1)
-    if len(lines) <= row:
-        raise SanitizeError(f"{file} has no line {row}")
-    return next(csv.reader([lines[row]["value"].lstrip("\ufeff")], delimiter=delimiter))
-
-
 def _column_names(cells: list[str]) -> list[str]:
     """Nameless columns become ``Unnamed: i``; a repeated name gets ``.1``, ``.2`` …"""
     names: list[str] = []
@@ -49,25 +44,31 @@ def _column_names(cells: list[str]) -> list[str]:
     return names
 
 
-def _inferred(df: DataFrame) -> DataFrame:
+def inferred(df: DataFrame) -> DataFrame:
     """Text columns as bigint, double or boolean where every value present reads as one.
 
-    One aggregate over the table decides. A column with no value at all becomes double.
+    One aggregate over the table decides. A column with no value at all becomes double. Whole numbers that no bigint
+    holds keep their column text: as doubles, different ones would become equal.
     """
     figures = []
     for i, name in enumerate(df.columns):
+        if name in ROW_ORDER:
+            continue
         c = ref(name)
         bare = F.trim(c)
-        whole = bare.rlike(_WHOLE) & bare.try_cast("bigint").isNotNull()
+        fits = bare.try_cast("bigint").isNotNull()
         figures += [
             F.count(c).alias(f"n{i}"),
-            F.count_if(whole).alias(f"w{i}"),
+            F.count_if(bare.rlike(_WHOLE) & fits).alias(f"w{i}"),
+            F.count_if(bare.rlike(_WHOLE) & ~fits).alias(f"b{i}"),
             F.count_if(bare.rlike(PLAIN_NUMBER) | bare.rlike(_REAL)).alias(f"r{i}"),
             F.count_if(c.isin(*_TRUTH)).alias(f"t{i}"),
         ]
     seen = df.agg(*figures).first()
 
     def typed(i: int, name: str) -> Column:
+        if name in ROW_ORDER or seen[f"b{i}"]:
+            return ref(name)
         n, c = seen[f"n{i}"], F.trim(ref(name))
         if n == 0:
             return F.lit(None).cast("double").alias(name)
@@ -90,23 +91,106 @@ def _read_text_cells(
     latin1: bool,
     names: list[str],
     multi_line: bool,
+    row_order: bool,
 ) -> DataFrame:
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    """Cells as text under ``names``, what goes beyond them under ``_BEYOND``, and the row order if asked for."""
+    fields = [*(f"c{i}" for i in range(len(names))), "beyond"]
     options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
     if header_row:
         if multi_line:
             raise SanitizeError("a header below the first row and cells with line breaks cannot be combined")
         body = without_head(numbered_lines(spark, files), header_row + 1)
         value = as_latin1() if latin1 else F.col("value")
-        cells = body.select(F.from_csv(value, ", ".join(f"c{i} string" for i in range(len(names))), options).alias("cells"))
-        return cells.select("cells.*").toDF(*names)
-    return (
-        spark.read.schema(schema)
-        .option("recursiveFileLookup", True)
-        .options(**options, header=header_row == 0, multiLine=multi_line, encoding="ISO-8859-1" if latin1 else "UTF-8")
-        .csv(files)
-        .toDF(*names)
+        place = [F.col(c).alias(n) for c, n in zip(("file", "block", "id"), ROW_ORDER)]
+        cells = body.select(F.from_csv(value, ", ".join(f"{c} string" for c in fields), options).alias("cells"), *place)
+        cells = cells.select("cells.*", *ROW_ORDER)
+    else:
+        reader = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in fields])).option("recursiveFileLookup", True)
+        encoding = "ISO-8859-1" if latin1 else "UTF-8"
+        cells = with_row_id(reader.options(**options, header=header_row == 0, multiLine=multi_line, encoding=encoding).csv(files))
+    named = cells.toDF(*names, _BEYOND, *ROW_ORDER)
+    return named if row_order else named.drop(*ROW_ORDER)
+
+
+def _leaves_a_quote_open(delimiter: str) -> Column:
+    """Lines of which the last quoted cell does not end: the cell goes on in the next line."""
+    d = re.escape(delimiter)
+    cell = rf'(?:"(?:[^"]|"")*+"[^{d}]*+|[^"{d}][^{d}]*+|)'
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return F.when(quotes % 2 == 1, ~F.col("value").rlike(rf"^{cell}(?:{d}{cell})*+$")).otherwise(False)
+
+
+def _encoding_of(name: str | None) -> bool | None:
+    """Whether Latin-1; None if it has to be found out."""
+    if name is None:
+        return None
+    if name.lower().replace("_", "-") in ("latin-1", "latin1", "iso-8859-1"):
+        return True
+    if name.lower().replace("-", "") == "utf8":
+        return False
+    raise SanitizeError(f"encoding {name!r} is not supported")
+
+
+def read_text_table(
+    spark: SparkSession,
+    path: str | list[str],
+    delimiter: str,
+    header_row: int | None = 0,
+    encoding: str | None = None,
+    multi_line: bool = False,
+    ragged: str = "refuse",
+    row_order: bool = False,
+) -> DataFrame:
+    """``read_delimited`` before types: all cells as text, missing ones NULL."""
+    if ragged not in ("refuse", "cut"):
+        raise SanitizeError(f"ragged must be 'refuse' or 'cut', not {ragged!r}")
+    latin1 = _encoding_of(encoding)
+    lines = numbered_lines(spark, path)
+    if not lines.inputFiles():
+        raise SanitizeError(f"no files at {path!r}")
+    # One scan: what every file is like. Files that are alike form a group; the driver gets the groups.
+    about = lines.groupBy("file").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.count_if(_leaves_a_quote_open(delimiter)).alias("open")
+    )
+    wanted = header_row or 0
+    heads = head_lines(lines, wanted + 1).filter(F.col("row") == wanted).select(F.col("file").alias("of"), F.col("value").alias("head"))
+    of_file = about.join(heads, F.col("file") == F.col("of"), "left").select(
+        "file", "open", (~F.col("utf8") if latin1 is None else F.lit(latin1)).alias("latin1"), "head"
     )
+    of_file = of_file.withColumn("head", F.when(F.col("latin1"), as_latin1("head")).otherwise(F.col("head")))
+    key = F.col("head") if header_row is not None else F.lit(None).cast("string")
+    facts = cut_lineage(of_file.withColumn("key", key))
+    groups = facts.groupBy("latin1", "key").agg(
+        F.min(F.struct("file", "head")).alias("first"), F.sum("open").alias("open"), F.count(F.lit(1)).alias("files"), F.count_if(F.col("head").isNull()).alias("short")
+    ).limit(_MOST_GROUPS + 1).collect()
+    groups.sort(key=lambda g: g["first"]["file"])
+    if not groups:
+        raise SanitizeError(f"no lines at {path!r}")
+    if len(groups) > _MOST_GROUPS:
+        raise SanitizeError(f"the files at {path!r} have more than {_MOST_GROUPS} different headers")
+    if short := next((g for g in groups if g["short"]), None):
+        raise SanitizeError(f"{short['first']['file']} has no line {wanted}")
+    if not multi_line and (broken := [g for g in groups if g["open"]]):
+        raise SanitizeError(
+            f"{sum(g['open'] for g in broken)} lines leave a quoted cell open, as in {broken[0]['first']['file']}: read with multi_line=True"
+        )
+    parts = []
+    for g in groups:
+        # The path itself is read where its files are alike, rather than a long list of them.
+        files: str | list[str] = path
+        if len(groups) > 1:
+            same = facts.filter((F.col("latin1") == g["latin1"]) & F.col("key").eqNullSafe(F.lit(g["key"])))
+            files = sorted(plain_path(r["file"]) for r in same.select("file").collect())
+        cells = next(csv.reader([g["first"]["head"].lstrip("\ufeff")], delimiter=delimiter))
+        names = [f"_c{i}" for i in range(len(cells))] if header_row is None else _column_names(cells)
+        parts.append(_read_text_cells(spark, files, delimiter, header_row, g["latin1"], names, multi_line, row_order))
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part, allowMissingColumns=True)
+    if ragged == "refuse" and (beyond := table.filter(ref(_BEYOND).isNotNull()).count()):
+        raise SanitizeError(f"{beyond} rows of {path!r} have more cells than the header; ragged='cut' drops what is beyond it")
+    names = [c for c in table.columns if c != _BEYOND]
+    return table.select(*[ref(c) if c in ROW_ORDER else F.when(~ref(c).isin(*MISSING_TOKENS), ref(c)).alias(c) for c in names])
 
 
 def read_delimited(
@@ -117,42 +201,22 @@ def read_delimited(
     encoding: str | None = None,
     infer_types: bool = True,
     multi_line: bool = False,
+    ragged: str = "refuse",
+    row_order: bool = False,
 ) -> DataFrame:
-    """A delimited file, or a folder of them with one layout, as a table.
+    """A delimited file, or a folder of them, as a table.
 
     ``header_row`` counts lines that are not blank; lines above it are dropped in every file, and
-    ``None`` means there is no header (columns ``_c0`` …). ``encoding`` is ``"utf-8"`` or
-    ``"latin-1"``; if it is not given, one scan finds the files that are not UTF-8, and those are
-    read as Latin-1. Cells that stand for a missing value become NULL. ``infer_types`` turns columns
-    of numbers or truth values into such (one aggregate). Files are split over tasks unless
-    ``multi_line``, which cells with line breaks need.
+    ``None`` means there is no header (columns ``_c0`` …). Every file has its own header: values go by
+    name, and a column that a file lacks is missing in its rows. ``encoding`` is ``"utf-8"`` or
+    ``"latin-1"``; if it is not given, files that are not UTF-8 are read as Latin-1. Cells that stand
+    for a missing value become NULL. ``infer_types`` turns columns of numbers or truth values into
+    such (one aggregate). Files are split over tasks unless ``multi_line``, which cells with line
+    breaks need; without it a line that leaves a quoted cell open is an error. So are rows with more
+    cells than their header, unless ``ragged="cut"``. ``row_order`` adds the columns ``ROW_ORDER``.
     """
-    lines = numbered_lines(spark, path)
-    files = sorted(_plain_path(f) for f in lines.inputFiles())
-    if not files:
-        raise SanitizeError(f"no files at {path!r}")
-    if encoding is None:
-        # The driver already holds the list of all files; this is part of it.
-        odd = {_plain_path(r["file"]) for r in file_encodings(lines).filter("not is_utf8").select("file").collect()}
-    elif encoding.lower().replace("_", "-") in ("latin-1", "latin1", "iso-8859-1"):
-        odd = set(files)
-    elif encoding.lower().replace("-", "") == "utf8":
-        odd = set()
-    else:
-        raise SanitizeError(f"encoding {encoding!r} is not supported")
-    latin = [f for f in files if f in odd]
-    plain = [f for f in files if f not in odd]
-
-    cells = _header_cells(spark, files[0], header_row or 0, delimiter, files[0] in latin)
-    names = [f"_c{i}" for i in range(len(cells))] if header_row is None else _column_names(cells)
-    # The path itself is read where its files are alike, rather than a long list of them.
-    groups = [(path, bool(latin))] if not (latin and plain) else [(plain, False), (latin, True)]
-    parts = [
-        _read_text_cells(spark, group, delimiter, header_row, latin1, names, multi_line) for group, latin1 in groups
-    ]
-    table = parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
-    present = table.select(*[F.when(~ref(c).isin(*MISSING_TOKENS), ref(c)).alias(c) for c in names])
-    return _inferred(present) if infer_types else present
+    table = read_text_table(spark, path, delimiter, header_row, encoding, multi_line, ragged, row_order)
+    return inferred(table) if infer_types else table
 
 
 def read_csv(
@@ -162,38 +226,51 @@ def read_csv(
     encoding: str | None = None,
     infer_types: bool = True,
     multi_line: bool = False,
+    ragged: str = "refuse",
+    row_order: bool = False,
 ) -> DataFrame:
     """``read_delimited`` with a comma."""
-    return read_delimited(spark, path, ",", header_row, encoding, infer_types, multi_line)
+    return read_delimited(spark, path, ",", header_row, encoding, infer_types, multi_line, ragged, row_order)
 
 
-def _opens_with_bracket(spark: SparkSession, path: str | list[str]) -> bool:
-    files = sorted(_plain_path(f) for f in spark.read.text(path).inputFiles())
-    first = numbered_lines(spark, files[0]).filter("block = 0").select(F.trim("value").alias("v")).take(1) if files else []
-    return bool(first) and first[0]["v"].lstrip("\ufeff").startswith("[")
+def read_json(spark: SparkSession, path: str | list[str], row_order: bool = False) -> DataFrame:
+    """JSON lines, or files that each hold one array of records; every file for itself.
 
-
-def read_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """JSON lines, or files that each hold one array of records.
-
-    The first line tells which. Lines are split over tasks; an array is read whole by one task per
-    file, so large data should be in lines. A file that opens like an array but is none is read as lines.
+    A file is an array if it opens with a bracket that its first line does not close, or that closes in its only line, and
+    its last line ends with the closing one. Lines are split over tasks; an array is read whole by one task per
+    file, so large data should be in lines.
     """
-    if _opens_with_bracket(spark, path):
-        table = spark.read.option("multiLine", True).json(path)
-        if table.columns != ["_corrupt_record"]:
-            return table
-    return spark.read.json(path)
+    lines = numbered_lines(spark, path)
+    place = F.struct("block", "id")
+    ends = lines.groupBy("file").agg(F.min_by("value", place).alias("first"), F.max_by("value", place).alias("last"), F.count(F.lit(1)).alias("n"))
+    first = F.regexp_replace("first", "^\\x{FEFF}?\\s+|^\\x{FEFF}", "")
+    alone = F.try_parse_json("first").isNotNull()
+    is_array = first.startswith("[") & F.rtrim("last").endswith("]") & ((F.col("n") == 1) | ~alone)
+    kinds = cut_lineage(ends.select("file", is_array.alias("is_array")))
+    counts = {r["is_array"]: r["count"] for r in kinds.groupBy("is_array").count().collect()}
+    parts = []
+    for arrays in (False, True):
+        if counts.get(arrays):
+            files: str | list[str] = path
+            if len(counts) > 1:
+                files = sorted(plain_path(r["file"]) for r in kinds.filter(F.col("is_array") == arrays).select("file").collect())
+            part = spark.read.option("multiLine", arrays).option("recursiveFileLookup", True).json(files)
+            parts.append(with_row_id(part) if row_order else part)
+    if not parts:
+        return spark.read.json(path)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 def _flat(df: DataFrame) -> DataFrame:
-    """Every cell as the text to write; nested cells as JSON text. Delimited files hold no binary."""
+    """Every cell as the text to write; nested cells as JSON text."""
+    binary = [f.name for f in df.schema.fields if isinstance(f.dataType, T.BinaryType)]
+    if binary:
+        raise SanitizeError(f"delimited files hold no binary: remove or encode {binary}")
     nested = (T.StructType, T.ArrayType, T.MapType)
     return df.select(
         *[
             (F.to_json(ref(f.name)) if isinstance(f.dataType, nested) else as_text(ref(f.name), f.dataType)).alias(f.name)
             for f in df.schema.fields
-            if not isinstance(f.dataType, T.BinaryType)
         ]
     )
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_FILES = 100_000
+#: A table with a row for each file is broadcast up to this size.
+BROADCAST_BYTES = 128 << 20
 
 
 def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -28,34 +29,28 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def few_files(lines: DataFrame) -> bool:
     """Whether a table with a row per file is small enough to broadcast; Spark has the listing."""
-    return len(lines.inputFiles()) <= BROADCAST_FILES
+    return sum(len(f) + 32 for f in lines.inputFiles()) <= BROADCAST_BYTES
 
 
 def first_ids(lines: DataFrame) -> DataFrame:
-    """(file, first): the id of each file's first line."""
-    return lines.filter("block = 0").groupBy("file").agg(F.min("id").alias("first"))
+    """(of, first): each file and the id of its first line."""
+    first = lines.filter("block = 0").groupBy(F.col("file").alias("of")).agg(F.min("id").alias("first"))
+    return F.broadcast(first) if few_files(lines) else first
 
 
 def without_head(lines: DataFrame, count: int) -> DataFrame:
-    """Drop the first ``count`` lines of every file."""
+    """Drop the first ``count`` lines of every file. They lie in its first block, so later blocks are not looked at."""
     if count <= 0:
         return lines
-    gone = first_ids(lines).select(
-        F.explode(F.sequence(F.col("first"), F.col("first") + F.lit(count - 1))).alias("gone")
-    )
-    if few_files(lines):
-        gone = F.broadcast(gone)
-    return lines.join(gone, F.col("id") == F.col("gone"), "left_anti")
+    later = (F.col("block") > 0) | (F.col("id") >= F.col("first") + count)
+    return lines.join(first_ids(lines), F.col("file") == F.col("of")).filter(later).drop("of", "first")
 
 
 def head_lines(lines: DataFrame, count: int) -> DataFrame:
     """(file, row, value): the first ``count`` lines of every file, numbered from 0."""
-    first = first_ids(lines).withColumnRenamed("file", "of")
-    if few_files(lines):
-        first = F.broadcast(first)
     return (
         lines.filter("block = 0")
-        .join(first, F.col("file") == F.col("of"))
+        .join(first_ids(lines), F.col("file") == F.col("of"))
         .select("file", (F.col("id") - F.col("first")).alias("row"), "value")
         .filter(F.col("row") < count)
     )

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import posixpath
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidyveil.constants import OUTPUT_SUFFIX
 from tidyveil.errors import OutputError
 
-_TRIES = 999
-
 
 def _open(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -45,15 +44,14 @@ def output_name(source: str) -> str:
 
 
 def next_free(spark: SparkSession, path: str) -> str:
-    """``path`` if nothing is there, else ``name (2)``, ``name (3)`` and so on."""
-    if not exists(spark, path):
+    """``path`` if nothing is there, else ``name (n)`` with n one more than the largest beside it, 2 at least."""
+    fs, where = _open(spark, path)
+    if not fs.exists(where):
         return path
     stem, suffix = posixpath.splitext(path)
-    for version in range(2, _TRIES + 2):
-        candidate = f"{stem} ({version}){suffix}"
-        if not exists(spark, candidate):
-            return candidate
-    raise OutputError(f"no free name near {path!r}")
+    name = re.compile(rf"{re.escape(posixpath.basename(stem))} \((\d+)\){re.escape(suffix)}")
+    beside = (name.fullmatch(s.getPath().getName()) for s in fs.listStatus(where.getParent()))
+    return f"{stem} ({max([1, *(int(m[1]) for m in beside if m)]) + 1}){suffix}"
 
 
 def safe_output(spark: SparkSession, source: str, output: str, on_exists: str = "version") -> str:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROW_ORDER = ["__file", "__block", "__row_id"]
+from tidyveil.constants import ROW_ORDER
+
+__all__ = ["ROW_ORDER", "with_row_id"]
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
