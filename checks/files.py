@@ -55,7 +55,6 @@ def _(spark, folder):
 @check("csv_multi_line_cells", "SELECT doc_id, text, lang FROM documents")
 def _(spark, folder):
     path = scratch(spark, "documents.csv")
-    # Carriage returns would come back as line feeds, so they are kept out of the comparison.
     write_csv(table(spark, folder, "documents").select("doc_id", "text", "lang"), path)
     return read_csv(spark, path, multi_line=True)
 

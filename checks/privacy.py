@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import tidyveil as tv
-from checks.registry import check, table
+from checks.registry import SQL, check, table
 
 
 def _mask(text, show):
@@ -157,3 +157,20 @@ def _(spark, folder):
 def _(spark, folder):
     texts = table(spark, folder, "documents").select("doc_id", "text")
     return tv.suppress_low_counts(texts, "text", 2, "rare")
+
+
+@check("pseudonymize_column_shuffled", SQL["pseudonymize_column_text"])
+def _(spark, folder):
+    """The way taken when there are too many values to broadcast."""
+    texts = table(spark, folder, "documents").select("doc_id", "text")
+    return tv.pseudonymize_column(texts, "text", prefix="Doc", seed=7, broadcast_rows=0)
+
+
+@check(
+    "suppress_low_counts_shuffled",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN count(*) OVER (PARTITION BY l_orderkey) < 3 THEN '[SUPPRESSED]'
+       ELSE CAST(l_orderkey AS VARCHAR) END AS shown FROM lineitem""",
+)
+def _(spark, folder):
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_orderkey").alias("shown"))
+    return tv.suppress_low_counts(lines, "shown", 3, broadcast_rows=0)

@@ -244,7 +244,7 @@ def test_layouts_are_found_by_file(spark, tmp_path):
 
 def test_jobs_follow_the_order_of_the_file(spark, tmp_path):
     source = put(tmp_path, "o.csv", "k,v\n1,9\n1,2\n2,\n,5\n,5\n")
-    keep = [Step("SELECT_COLUMNS", {"columns": ["v", "k"]}), Step("REMOVE_EMPTY_ROWS"), Step("REMOVE_DUPLICATES", {"subset": ["k"]})]
+    keep = [Step("REORDER_COLUMNS", {"order": ["v", "k"]}), Step("REMOVE_EMPTY_ROWS"), Step("REMOVE_DUPLICATES", {"subset": ["k"]})]
     record = run_job(spark, source, str(tmp_path / "k.parquet"), steps=keep).first()
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "k.parquet")).collect())) == ["Row(v=5, k=None)", "Row(v=9, k=1)", "Row(v=None, k=2)"]
     assert [(s["cols_before"], s["cols_after"]) for s in record["steps"]] == [(2, 2)] * 3

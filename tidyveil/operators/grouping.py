@@ -18,7 +18,7 @@ from tidyveil.functions.columns import (
     to_number,
 )
 from tidyveil.functions.parsing import with_moment
-from tidyveil.operators.lookup import HOT_SHARE, attach_by_value
+from tidyveil.operators.lookup import BROADCAST_ROWS, HOT_SHARE, attach_by_value
 
 _DATE_UNITS = {"month": "yyyy-MM", "year": "yyyy"}
 
@@ -141,6 +141,7 @@ def suppress_low_counts(
     threshold: int = 5,
     replacement: str = SUPPRESSED,
     stats_from: DataFrame | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Replace values held by fewer than ``threshold`` rows; missing cells stay missing.
 
@@ -161,7 +162,7 @@ def suppress_low_counts(
     is_hot = F.col("copies") >= counts.agg(F.sum("copies")).scalar() * HOT_SHARE
     marks = counts.filter(is_rare | is_hot).withColumn("payload", F.when(is_rare, F.lit(replacement)))
     keyed = df.withColumn("__text", as_text(c, dtype))
-    marked = attach_by_value(keyed, "__text", marks)
+    marked = attach_by_value(keyed, "__text", marks, broadcast_rows)
     if isinstance(dtype, T.StringType):
         kept = ref(group_column)
     else:

@@ -12,6 +12,8 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_SHARE = 1e-4  # at most 1 / HOT_SHARE values can each hold this share of the rows
 _SCATTER = 1 << 20
+#: Longer values are told by their digest where they are broadcast, so the hot ones take a few megabytes at most.
+_LONG_BYTES = 256
 
 
 def attach_by_value(
@@ -39,11 +41,12 @@ def attach_by_value(
         return df.join(F.broadcast(slim), ref(key) == F.col("__key"), "left").drop("__key")
 
     is_hot = F.col("copies") >= F.lit(max(copies * HOT_SHARE, 1.0))
-    hot = stored.filter(is_hot).select(F.col("key").alias("__hot"), F.col("payload").alias("__hot_payload"))
+    short = lambda c: F.when(F.octet_length(c) <= _LONG_BYTES, c).otherwise(F.concat(F.lit("sha256:"), F.sha2(c, 256)))
+    hot = stored.filter(is_hot).select(short(F.col("key")).alias("__hot"), F.col("payload").alias("__hot_payload"))
     cold = stored.filter(~is_hot).select(
         F.col("key").alias("__key"), F.col("payload").alias("__cold_payload"), F.lit(0).alias("__to")
     )
-    spread = df.join(F.broadcast(hot), ref(key) == F.col("__hot"), "left").withColumn(
+    spread = df.join(F.broadcast(hot), short(ref(key)) == F.col("__hot"), "left").withColumn(
         "__salt",
         F.when(
             F.col("__hot").isNotNull() | ref(key).isNull(),

@@ -16,7 +16,7 @@ from tidyveil.errors import StepError
 from tidyveil.functions.columns import need_flat, ref, replace_column
 from tidyveil.plans.lineage import cut_lineage
 
-MIN_RANGES, MAX_RANGES = 16, 8_192
+MIN_RANGES = 16
 SAMPLES_PER_RANGE = 32
 _SEED = 20_011
 
@@ -28,7 +28,7 @@ TIE = "__tie"
 def range_count(df: DataFrame) -> int:
     """Ranges follow the session's shuffle width, which is what sizes every other task."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(MIN_RANGES, min(MAX_RANGES, width))
+    return max(MIN_RANGES, width)
 
 
 def _sortable(c: Column, dtype: T.DataType) -> Column:

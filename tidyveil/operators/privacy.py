@@ -18,9 +18,9 @@ from tidyveil.functions.columns import (
     type_of,
 )
 from tidyveil.functions.masking import hash_text, mask_text
-from tidyveil.operators.lookup import attach_by_value
+from tidyveil.operators.lookup import BROADCAST_ROWS, attach_by_value
 
-_BUCKET_DIGITS = 3  # 4,096 buckets of the numbering
+_LEAST_DIGITS = 3  # 4,096 buckets of the numbering, or 16 for each task of the session's shuffles if that is more
 
 
 def mask_column(df: DataFrame, column: str, mask_char: str = MASK_CHAR, show_last: int = MASK_SHOW_LAST) -> DataFrame:
@@ -56,8 +56,10 @@ def pseudonyms(values: DataFrame, prefix: str, seed: int) -> DataFrame:
     running total over the bucket sizes (one small row each) turns places within a bucket into
     places overall, so no task sorts more than its bucket.
     """
+    width = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    digits = max(_LEAST_DIGITS, (width.bit_length() + 3) // 4 + 1)
     hashed = values.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("key")))).withColumn(
-        "bucket", F.substring("h", 1, _BUCKET_DIGITS)
+        "bucket", F.substring("h", 1, digits)
     )
     offsets = (
         hashed.groupBy("bucket")
@@ -82,11 +84,13 @@ def pseudonymize_column(
     prefix: str = PSEUDONYM_PREFIX,
     seed: int = PSEUDONYM_SEED,
     stats_from: DataFrame | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Equal values get equal labels ``prefix_0001`` …, different values different ones.
 
     Labels are dealt out in an order set by ``seed``, so they do not tell the order of the values.
-    One aggregate over this column runs at once to number its distinct values.
+    One aggregate over this column runs at once to number its distinct values. More than ``broadcast_rows`` of them, or
+    wide ones, are joined by a shuffle.
     """
     if not has_column(df, column):
         return df
@@ -99,5 +103,5 @@ def pseudonymize_column(
         .agg(F.count(F.lit(1)).alias("copies"))
     )
     keyed = df.withColumn("__text", as_text(ref(column), dtype))
-    labelled = attach_by_value(keyed, "__text", pseudonyms(values, prefix, seed))
+    labelled = attach_by_value(keyed, "__text", pseudonyms(values, prefix, seed), broadcast_rows)
     return replace_column(labelled, column, F.col("__payload")).select(*map(ref, df.columns))

@@ -12,7 +12,6 @@ from pyspark.sql.utils import AnalysisException
 from tidyveil.constants import ROW_ORDER
 from tidyveil.errors import StepError
 from tidyveil.functions.columns import has_column
-from tidyveil.operators.projection import select_columns
 from tidyveil.plans.lineage import cut_lineage
 from tidyveil.plans.steps import (
     Step,
@@ -136,8 +135,6 @@ def _apply(df: DataFrame, step: Step, order_by: list[str] | None, require_column
         if gone := [c for c in order_by if not has_column(df, c)]:
             raise StepError(f"{title_of(step)}: no column to order by named {gone}")
         params["order_by"] = list(order_by)
-    if order_by == ROW_ORDER and kind_of_step(step).function is select_columns:
-        params["columns"] = [*params["columns"], *ROW_ORDER]  # they are dropped after the last step
     result = kind_of_step(step).function(df, **params)
     result.schema  # resolve now, so that an error is this step's
     return result
