@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidyveil.llm.common import prepare, stored, text_of
@@ -91,8 +91,6 @@ def _joined(ids: Column) -> Column:
 
 def _numbered(cut: DataFrame, sha: Column, chunk: DataFrame, clashing: DataFrame, digest) -> DataFrame:
     """The recipes where some digests clash: their chunks are numbered in the order of their bytes."""
-    from pyspark.sql import Window
-
     numbers = stored(
         chunk.join(clashing, "digest", "left_semi").distinct()
         .withColumn("number", F.row_number().over(Window.partitionBy("digest").orderBy("chunk"))), "numbers",
@@ -117,8 +115,10 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", dige
     listed = recipes(df, doc_id, text, digest)
     # Repeated rows are counted first, so that a group's one kept row is well defined.
     rows = stored(listed.groupBy("recipe", "id", "text_sha256").agg(F.count(F.lit(1)).alias("n")), "recipes")
-    groups = rows.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size")).select(
-        F.col("recipe").alias("of"), "keep_id", "group_size"
+    # Stored as well, so that both sides of the join come straight from their shuffles and a large group can be split.
+    groups = stored(
+        rows.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size")).select(F.col("recipe").alias("of"), "keep_id", "group_size"),
+        "groups",
     )
     joined = rows.join(groups, rows["recipe"] == groups["of"])
     return joined.select(
