@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidyveil.plans.lineage import shared_folder
 
 #: Bytes of text in one Arrow batch, and in one block that a task holds as Python objects; rows of a block.
-BATCH_BYTES, BLOCK_BYTES, BLOCK_ROWS = 64 << 20, 8 << 20, 60_000
+BATCH_BYTES, BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 4 << 20, 60_000
 
 
 def text_of(name: str) -> Column:

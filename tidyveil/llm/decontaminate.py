@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 
 from tidyveil.llm.common import blocks, prepare, stored, text_of
 
+#: The most words whose hashes a Python worker remembers.
+REMEMBERED = 200_000
 #: Words of a window, and of the shingles that are looked for.
 WINDOW, SHINGLE = 10, 3
 #: Bits of the filter that tells which shingles of a document can be a benchmark's. Its size is fixed, whatever the
@@ -38,7 +40,7 @@ class _Hashes(dict):
     """Hashes of words, kept while there are not too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value

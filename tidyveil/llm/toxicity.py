@@ -26,6 +26,8 @@ from tidyveil.llm.decontaminate import words_of
 BUCKETS = 1 << 20
 #: Bytes of the prefixes in the chain before the whole word; how many documents a prior counts for.
 PREFIXES, PRIOR = (3, 4, 5, 6, 7, 8), 8.0
+#: The most words that a Python worker remembers.
+REMEMBERED = 200_000
 #: Taken off every token's log-odds.
 DRIFT = 2.5
 #: A passage counts as significant below this chance of one as high in a clean document of equal length.
@@ -72,7 +74,7 @@ class _Scores(dict):
         self.model = model
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED:
             self.clear()
         new = list(set(words).difference(self))
         if new:
@@ -134,13 +136,13 @@ def _count(train: DataFrame) -> tuple[Counts, Counts]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}
         for batch in blocks(batches):
-            if len(known) > 200_000:
+            if len(known) > REMEMBERED // 4:
                 known.clear()
             lists = [set(words_of(x.as_py())) for x in batch.column(1)]
             new = list(set().union(*lists).difference(known))
             if new:
                 buckets, applies = features(new)
-                known.update((w, b[a]) for w, b, a in zip(new, buckets, applies))
+                known.update((w, b[a]) for w, b, a in zip(new, buckets.astype(np.int32), applies))
             kinds = batch.column(2).to_numpy() * 2 + batch.column(3).to_numpy()  # toxic, fold
             own = [np.unique(np.concatenate([known[w] for w in x])) if x else np.empty(0, np.int64) for x in lists]
             for kind in np.unique(kinds):
