@@ -147,7 +147,7 @@ def _count(train: DataFrame) -> tuple[Counts, Counts]:
             own = [np.unique(np.concatenate([known[w] for w in x])) if x else np.empty(0, np.int64) for x in lists]
             for kind in np.unique(kinds):
                 bucket, n = np.unique(np.concatenate([o for o, k in zip(own, kinds) if k == kind]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(n), kind)), pa.array(n)], names=["bucket", "kind", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(np.full(len(n), kind)), pa.array(n)], names=["bucket", "kind", "n"])
 
     seen = train.select("id", "body", "toxic", "fold").mapInArrow(run, "bucket long, kind long, n long")
     of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).cast("int").alias(f"k{k}")
