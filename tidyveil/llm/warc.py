@@ -3,13 +3,14 @@
 An ARC file begins with a version block whose second line says which fields a record's header line has; each record is
 that line, then as many bytes as it declares. The converter gives every record the WARC identifier, timestamp, type and
 digests it would have had. Archives are written and read by Spark in the storage of the path given; record bodies never
-pass through the driver. One archive file is read by one task, which holds it and its records; the writers here keep
-files near ``FILE_BYTES``, or one longer record.
+pass through the driver. Archives are gzipped, one file for each partition written, and read by one task each, record by record.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from tidyveil.llm.common import new_folder, prepare, stored, text_of
 
-#: Bytes of an archive file.
-FILE_BYTES = 24 << 20
+#: Pages are dealt anew before they are written if their partitions hold more bytes than this on average.
+FILE_BYTES = 128 << 20
 #: Least bytes of a payload that later records refer back to.
 LEAST_REVISIT = 100
 #: The HTTP header that carries a record's key, and the date of pages that have none.
@@ -35,8 +36,8 @@ ARC_FIELDS = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _files(df: DataFrame, size: Column) -> int:
-    return max(1, -(-int(df.agg(F.sum(size)).first()[0] or 0) // FILE_BYTES))
+def _stream(data: bytes) -> io.BufferedIOBase:
+    return gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
 
 
 def _one_by_one(names: list[str], kinds: list[pa.DataType], rows: Iterator[tuple], size: int = -1, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -54,7 +55,7 @@ def _one_by_one(names: list[str], kinds: list[pa.DataType], rows: Iterator[tuple
 
 def _lines(rows: DataFrame, path: str, separator: str) -> None:
     # The bytes go out as they are: a cast from binary to string checks and changes nothing.
-    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", separator).text(path)
+    rows.select(F.col("record").cast("string").alias("value")).write.options(lineSep=separator, compression="gzip").text(path)
 
 
 def arc_header(version: int, url: str, ip: str, date: str, kind: str, length: int, status: int = 200) -> bytes:
@@ -82,36 +83,37 @@ def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n".encode()
                 yield (arc_header(version, place.as_py(), "0.0.0.0", DATE, "text/html", len(http) + len(payload)) + http + payload,)
 
-    dealt = source.repartition(_files(source, F.octet_length("body") + 300))
-    _lines(dealt.mapInArrow(lambda b: _one_by_one(["record"], [pa.binary()], rows(b)), "record binary"), path, "\n")
+    files = -(-int(source.agg(F.sum(F.octet_length("body") + 300)).first()[0] or 0) // FILE_BYTES)
+    if source.rdd.getNumPartitions() < files:
+        source = source.repartition(files)
+    _lines(source.mapInArrow(lambda b: _one_by_one(["record"], [pa.binary()], rows(b)), "record binary"), path, "\n")
 
 
 def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """Offset, header fields and body of each record after the version block. Raises ValueError where ``data`` is no ARC."""
-    at, fields = 0, None
-    while at < len(data):
-        if data[at : at + 1] in (b"\n", b"\r"):
-            at += 1
+    stream, at, fields = _stream(data), 0, None
+    while line := stream.readline():
+        first, at = at, at + len(line)
+        if not line.strip():
             continue
-        end = data.find(b"\n", at)
-        if end < 0:
-            raise ValueError(f"no end of the header line at {at}")
-        line = data[at:end].rstrip(b"\r").decode("utf-8", "replace")
-        length = line.rsplit(" ", 1)[-1]
-        if not length.isdigit() or end + 1 + int(length) > len(data):
-            raise ValueError(f"bad length in the header line at {at}")
-        body = data[end + 1 : end + 1 + int(length)]
+        head = line.rstrip(b"\r\n").decode("utf-8", "replace")
+        length = head.rsplit(" ", 1)[-1]
+        if not length.isdigit() or not line.endswith(b"\n"):
+            raise ValueError(f"bad header line at {first}")
+        body = stream.read(int(length))
+        at += len(body)
+        if len(body) < int(length):
+            raise ValueError(f"the record at {first} is cut off")
         if fields is None:
-            version = body[:1].decode() if line.startswith("filedesc:") else ""
+            version = body[:1].decode() if head.startswith("filedesc:") else ""
             if version not in ("1", "2"):
                 raise ValueError("no version block of version 1 or 2")
             fields = ARC_FIELDS[int(version)]
-        else:
-            parts = line.rsplit(" ", len(fields) - 1)  # a URL may hold blanks
-            if len(parts) != len(fields):
-                raise ValueError(f"{len(parts)} fields for {len(fields)} in the header line at {at}")
-            yield at, dict(zip(fields, parts)), body
-        at = end + 1 + int(length)
+            continue
+        parts = head.rsplit(" ", len(fields) - 1)  # a URL may hold blanks
+        if len(parts) != len(fields):
+            raise ValueError(f"{len(parts)} fields for {len(fields)} in the header line at {first}")
+        yield first, dict(zip(fields, parts)), body
 
 
 def _http(body: bytes) -> tuple[bytes, bytes, dict[str, str]]:
@@ -181,7 +183,7 @@ def _warc_record(fields: list[tuple[str, str | None]], block: bytes) -> bytes:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """``records`` as WARC files. A revisit keeps the head of its response, and leaves out the payload."""
+    """``records`` as WARC files, one for each partition. A revisit keeps the head of its response, and leaves out the payload."""
     prepare(records.sparkSession)
     names = ["record_id", "uri", "ip", "date", "kind", "payload_digest", "refers_to", "refers_uri", "refers_date", "head", "payload"]
     body = F.when(F.col("kind") == "revisit", F.lit(b"")).otherwise(F.col("payload")).alias("payload")
@@ -207,24 +209,23 @@ def write_warc(records: DataFrame, path: str) -> None:
                 yield (_warc_record(fields, block),)
 
     source = records.select(*names[:-1], body)
-    dealt = source.repartition(_files(records, F.octet_length("payload") + 900))
-    _lines(dealt.mapInArrow(lambda b: _one_by_one(["record"], [pa.binary()], rows(b)), "record binary"), path, "\r\n\r\n")
+    _lines(source.mapInArrow(lambda b: _one_by_one(["record"], [pa.binary()], rows(b)), "record binary"), path, "\r\n\r\n")
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and block of each record."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if end < 0 or not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at {at}")
-        fields = {a.strip().lower(): b.strip() for a, _, b in (line.partition(":") for line in lines[1:])}
-        length = int(fields["content-length"])
-        if end + 4 + length > len(data):
-            raise ValueError(f"the record at {at} is cut off")
-        yield fields, data[end + 4 : end + 4 + length]
-        at = end + 4 + length + 4
+    """Header fields (lower-case names) and block of each record. Raises ValueError where ``data`` is no WARC."""
+    stream = _stream(data)
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError("no WARC record where one should begin")
+        fields = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            fields[name.strip().lower()] = value.strip()
+        block = stream.read(int(fields["content-length"]))
+        if len(block) < int(fields["content-length"]) or stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"the record {fields.get('warc-record-id')} is cut off")
+        yield fields, block
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
