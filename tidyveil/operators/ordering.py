@@ -57,14 +57,14 @@ def order_key(df: DataFrame, columns: list[str], tie: list[str]) -> Column:
     return F.struct(*parts, F.xxhash64(*map(ref, tie)).alias("tie"))
 
 
-def _bounds_json(keyed: DataFrame, ranges: int) -> str:
+def _bounds_json(keyed: DataFrame, ranges: int, rows: int | None) -> str:
     """``ranges - 1`` ascending keys that cut the rows into about equal shares, as JSON.
 
     They come from a sample of SAMPLES_PER_RANGE keys a range, whatever the size of the table. It
     only places the cuts: every row is then dealt into a range.
     """
     keys = keyed.select(KEY)
-    rows = keys.count()
+    rows = keys.count() if rows is None else rows
     wanted = ranges * SAMPLES_PER_RANGE
     sample = keys if rows <= wanted else keys.sample(False, wanted / rows, _SEED)
     seen = sample.agg(F.sort_array(F.collect_list(KEY)).alias("seen"))
@@ -75,13 +75,13 @@ def _bounds_json(keyed: DataFrame, ranges: int) -> str:
     return seen.select(F.to_json(F.filter(cuts, lambda k: k.isNotNull()))).first()[0]
 
 
-def with_range(keyed: DataFrame, ranges: int) -> DataFrame:
+def with_range(keyed: DataFrame, ranges: int, rows: int | None = None) -> DataFrame:
     """Add ``__range``: how many of the range bounds lie below the row's ``__key``.
 
-    Runs one count and one sample of the keys. The bounds become one constant of the plan, and the
+    Runs one count, unless ``rows`` tells it, and one sample of the keys. The bounds become one constant of the plan, and the
     binary search over them a projection per halving, so the whole search is generated code.
     """
-    bounds = F.from_json(F.lit(_bounds_json(keyed, ranges)), T.ArrayType(keyed.schema[KEY].dataType))
+    bounds = F.from_json(F.lit(_bounds_json(keyed, ranges, rows)), T.ArrayType(keyed.schema[KEY].dataType))
     searched = keyed.withColumn(RANGE, F.lit(0))
     jump = 1 << ((ranges - 1).bit_length() - 1)
     while jump:
@@ -144,12 +144,12 @@ def carry_fill(
     return replace_column(filled, column, F.coalesce("__near", carry)).select(*map(ref, df.columns))
 
 
-def row_numbers_between(df: DataFrame, order_by: list[str], first: int, last: int) -> DataFrame:
+def row_numbers_between(df: DataFrame, order_by: list[str], first: int, last: int, rows: int | None = None) -> DataFrame:
     """The rows numbered ``first … last`` (from 1) in ``order_by``, with column ``__row_number``.
 
-    Only the ranges the wanted numbers fall into are sorted.
+    Only the ranges the wanted numbers fall into are sorted. ``rows`` is their number, if that is known.
     """
-    keyed = with_range(df.select("*", order_key(df, order_by, df.columns).alias(KEY)), range_count(df))
+    keyed = with_range(df.select("*", order_key(df, order_by, df.columns).alias(KEY)), range_count(df), rows)
     sizes = keyed.groupBy(RANGE).agg(F.count(F.lit(1)).alias("size"))
     before = F.sum("size").over(W.orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1))
     wanted = (

@@ -34,12 +34,13 @@ def page(df: DataFrame, number: int, page_size: int, order_by: list[str]) -> tup
         raise StepError("paging needs order_by")
     for name in order_by:
         need_flat(df, name)
-    pages = page_count(df.count(), page_size)
+    count = df.count()
+    pages = page_count(count, page_size)
     number = number if 0 <= number < pages else 0
     first, last = number * page_size + 1, (number + 1) * page_size
     if last <= TOP_K_ROWS:
         tie = F.xxhash64(*map(ref, df.columns))
         rows = df.orderBy(*map(ref, order_by), tie).offset(first - 1).limit(page_size)
     else:
-        rows = row_numbers_between(df, order_by, first, last).orderBy("__row_number").drop("__row_number")
+        rows = row_numbers_between(df, order_by, first, last, count).orderBy("__row_number").drop("__row_number")
     return rows, pages
