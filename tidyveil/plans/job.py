@@ -64,7 +64,7 @@ def read_table(spark: SparkSession, path: str, kind: str | None = None, row_orde
         if len(layouts) > 1:
             same = found.filter((F.col("header_row") == each["header_row"]) & (F.col("delimiter") == each["delimiter"]))
             own = sorted(files.plain_path(r["file"]) for r in same.select("file").collect())
-        parts.append(files.read_text_table(spark, own, row_order=row_order, **(options | {"header_row": each["header_row"], "delimiter": each["delimiter"]})))
+        parts.append(files.read_text_table(spark, own, row_order=row_order, checked=not infer, **(options | {"header_row": each["header_row"], "delimiter": each["delimiter"]})))
     if not parts:
         raise SanitizeError(f"no lines at {path!r}")
     table = parts[0]

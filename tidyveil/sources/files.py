@@ -47,11 +47,13 @@ def _column_names(cells: list[str]) -> list[str]:
 def inferred(df: DataFrame) -> DataFrame:
     """Text columns as bigint, double or boolean where every value present reads as one.
 
-    One aggregate over the table decides. A column with no value at all becomes double. Whole numbers that no bigint
+    One aggregate over the table decides; it also counts the rows with cells beyond the header, if the table was read
+    with them, which are an error. A column with no value at all becomes double. Whole numbers that no bigint
     holds keep their column text: as doubles, different ones would become equal.
     """
-    figures = []
-    for i, name in enumerate(df.columns):
+    columns = [c for c in df.columns if c != _BEYOND]
+    figures = [F.count(ref(_BEYOND)).alias("beyond")] if _BEYOND in df.columns else [F.lit(0).alias("beyond")]
+    for i, name in enumerate(columns):
         if name in ROW_ORDER:
             continue
         c = ref(name)
@@ -65,6 +67,7 @@ def inferred(df: DataFrame) -> DataFrame:
             F.count_if(c.isin(*_TRUTH)).alias(f"t{i}"),
         ]
     seen = df.agg(*figures).first()
+    _refuse_ragged(seen["beyond"])
 
     def typed(i: int, name: str) -> Column:
         if name in ROW_ORDER or seen[f"b{i}"]:
@@ -80,7 +83,12 @@ def inferred(df: DataFrame) -> DataFrame:
             return c.try_cast("boolean").alias(name)
         return ref(name)
 
-    return df.select(*[typed(i, name) for i, name in enumerate(df.columns)])
+    return df.select(*[typed(i, name) for i, name in enumerate(columns)])
+
+
+def _refuse_ragged(rows: int) -> None:
+    if rows:
+        raise SanitizeError(f"{rows} rows have more cells than the header; ragged='cut' drops what is beyond it")
 
 
 def _read_text_cells(
@@ -140,8 +148,12 @@ def read_text_table(
     multi_line: bool = False,
     ragged: str = "refuse",
     row_order: bool = False,
+    checked: bool = True,
 ) -> DataFrame:
-    """``read_delimited`` before types: all cells as text, missing ones NULL."""
+    """``read_delimited`` before types: all cells as text, missing ones NULL.
+
+    With ``checked=False`` cells beyond the header come along, for ``inferred`` to count in its own pass.
+    """
     if ragged not in ("refuse", "cut"):
         raise SanitizeError(f"ragged must be 'refuse' or 'cut', not {ragged!r}")
     latin1 = _encoding_of(encoding)
@@ -159,7 +171,7 @@ def read_text_table(
     )
     of_file = of_file.withColumn("head", F.when(F.col("latin1"), as_latin1("head")).otherwise(F.col("head")))
     key = F.col("head") if header_row is not None else F.lit(None).cast("string")
-    facts = cut_lineage(of_file.withColumn("key", key))
+    facts = of_file.withColumn("key", key)
     groups = facts.groupBy("latin1", "key").agg(
         F.min(F.struct("file", "head")).alias("first"), F.sum("open").alias("open"), F.count(F.lit(1)).alias("files"), F.count_if(F.col("head").isNull()).alias("short")
     ).limit(_MOST_GROUPS + 1).collect()
@@ -175,6 +187,8 @@ def read_text_table(
             f"{sum(g['open'] for g in broken)} lines leave a quoted cell open, as in {broken[0]['first']['file']}: read with multi_line=True"
         )
     parts = []
+    if len(groups) > 1:
+        facts = cut_lineage(facts)
     for g in groups:
         # The path itself is read where its files are alike, rather than a long list of them.
         files: str | list[str] = path
@@ -187,10 +201,10 @@ def read_text_table(
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part, allowMissingColumns=True)
-    if ragged == "refuse" and (beyond := table.filter(ref(_BEYOND).isNotNull()).count()):
-        raise SanitizeError(f"{beyond} rows of {path!r} have more cells than the header; ragged='cut' drops what is beyond it")
-    names = [c for c in table.columns if c != _BEYOND]
-    return table.select(*[ref(c) if c in ROW_ORDER else F.when(~ref(c).isin(*MISSING_TOKENS), ref(c)).alias(c) for c in names])
+    if checked and ragged == "refuse":
+        _refuse_ragged(table.filter(ref(_BEYOND).isNotNull()).count())
+    names = [c for c in table.columns if c != _BEYOND or not checked and ragged == "refuse"]
+    return table.select(*[ref(c) if c in ROW_ORDER or c == _BEYOND else F.when(~ref(c).isin(*MISSING_TOKENS), ref(c)).alias(c) for c in names])
 
 
 def read_delimited(
@@ -215,7 +229,7 @@ def read_delimited(
     breaks need; without it a line that leaves a quoted cell open is an error. So are rows with more
     cells than their header, unless ``ragged="cut"``. ``row_order`` adds the columns ``ROW_ORDER``.
     """
-    table = read_text_table(spark, path, delimiter, header_row, encoding, multi_line, ragged, row_order)
+    table = read_text_table(spark, path, delimiter, header_row, encoding, multi_line, ragged, row_order, not infer_types)
     return inferred(table) if infer_types else table
 
 
