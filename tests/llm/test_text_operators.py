@@ -107,6 +107,28 @@ def test_pseudonyms(spark):
     assert [r["text"] for r in pii.pseudonymize_texts(df, "other").collect()] != [r["text"] for r in done]
 
 
+def test_pseudonyms_beside_other_values(spark):
+    es, at = "ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201"
+    cases = {
+        "card 4111 1111 1111 1111 12/27": [("card", "4111 1111 1111 1111")],
+        "4111111111111111 123": [("card", "4111111111111111")],
+        "7 4111 1111 1111 1111": [("card", "4111 1111 1111 1111")],
+        "555-223-4567 555-987-6543": [("phone", "555-223-4567"), ("phone", "555-987-6543")],
+        f"{at} EUR": [("iban", at)],
+        f"pay {es} USD, {at}": [("iban", es), ("iban", at)],
+        "\U0001f600 999-22-1234 4111 1111 1111 1111 é 2001-02-28": [("card", "4111 1111 1111 1111"), ("date", "2001-02-28")],
+        "4111 1111 1111 1112": [],
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "text string").selectExpr("text", "text AS old")
+    for row in pii.pseudonymize_texts(df, "k").collect():
+        old = row["old"]
+        assert [(s["kind"], old[s["start"] : s["stop"]]) for s in row["pii"]] == cases[old], old
+        out, at = "", 0
+        for s in row["pii"]:
+            out, at = out + old[at : s["start"]] + s["new"], s["stop"]
+        assert out + old[at:] == row["text"]
+
+
 def test_permutation_is_one(spark):
     from pyspark.sql import functions as F
 

@@ -27,6 +27,18 @@ KINDS = {
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9A-Za-z])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Places after which a value may start, and those with the text from there on: more than the longest match and the character after it.
+_STARTS, _WINDOWS = f"(?={PATTERN})", f"(?s)(?=.(?:{PATTERN}))(?=(.{{1,640}}))."
+#: Digits of card numbers that can be part of a longer match, and characters of the account numbers of a country.
+CARD_DIGITS = range(18, 12, -1)
+IBAN_LENGTHS = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 "
+        "GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 "
+        "PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
 #: Texts without a match of this hold nothing to look for.
 _WORTH = "[0-9@]"
 #: Days of a block within which dates are permuted; blocks are counted from 1900-01-01.
@@ -214,12 +226,32 @@ def _ip(hit: Column, key: str) -> Column:
 _MOVES = {"email": _email, "iban": _iban, "ssn": _ssn, "date": _date, "card": _card, "phone": _phone, "ip": _ip}
 
 
-def _moved(hit: Column, key: str) -> Column:
-    """kind and pseudonym of a match, by the first kind that it fits and whose check it passes; NULL without one."""
-    each = [
-        F.struct(F.lit(kind).alias("kind"), F.when(hit.rlike(f"^(?:{KINDS[kind]})$"), _MOVES[kind](hit, key)).alias("new")) for kind in KINDS
-    ]
-    return F.get(F.filter(F.array(*each), lambda x: x["new"].isNotNull()), 0)
+def _lengths(kind: str, hit: Column, shorter: bool) -> Column:
+    """What to try of the longest match of a kind: array<string>, some of them NULL or empty."""
+    if shorter:
+        return F.array(*[F.regexp_extract(hit, f"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9A-Za-z])", 0) for n in CARD_DIGITS])
+    if kind == "iban":
+        known = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+        pattern = F.concat(F.lit("^(?:[A-Z0-9] ?){"), (F.try_element_at(known, F.substring(hit, 1, 2)) - 1).cast("string"), F.lit("}[A-Z0-9](?![A-Za-z0-9])"))
+        return F.array(F.regexp_substr(hit, pattern), hit)
+    return F.array(hit)
+
+
+def _moved(window: Column, key: str) -> Column:
+    """kind, pseudonym and length of the value that starts at the second character of ``window``; NULL without one.
+
+    The first kind that has a match there which passes its check counts. Shorter card numbers come last: of six lengths,
+    one fits by chance in nearly half of all numbers, and would take the start of a phone number.
+    """
+
+    def of(kind: str, shorter: bool = False) -> Column:
+        def tried(hit: Column) -> Column:
+            one = lambda v: F.struct(F.lit(kind).alias("kind"), F.when(F.length(v) > 0, _MOVES[kind](v, key)).alias("new"), F.length(v).alias("size"))
+            return F.when(hit != "", F.get(F.filter(F.transform(_lengths(kind, hit, shorter), one), lambda x: x["new"].isNotNull()), 0))
+
+        return _let(F.regexp_extract(window, f"(?s)^.({KINDS[kind]})", 1), tried)
+
+    return _let(window, lambda _: F.coalesce(*map(of, KINDS), of("card", True)))
 
 
 def pseudonymize_texts(df: DataFrame, key: str, text: str = "text", found: str = "pii") -> DataFrame:
@@ -231,25 +263,33 @@ def pseudonymize_texts(df: DataFrame, key: str, text: str = "text", found: str =
     empty one. Other columns pass through; one named ``found`` is replaced.
     """
     content, hold = text_of(text), f"__{found}"
-    zipped = F.arrays_zip(
-        F.split(content, PATTERN, -1).alias("gap"), F.regexp_extract_all(content, F.lit(PATTERN), F.lit(0)).alias("hit")
+    marked = F.concat(F.lit("\n"), content)  # so that no value starts at the first character
+    nothing = F.lit(None).cast("string")
+    zipped = F.arrays_zip(F.split(marked, _STARTS, -1).alias("own"), F.concat(F.array(nothing), F.regexp_extract_all(marked, F.lit(_WINDOWS), F.lit(1))).alias("window"))
+    pieces = F.transform(zipped, lambda x: F.struct(x["own"].alias("own"), F.when(x["window"].isNotNull(), _moved(x["window"], key)).alias("to")))
+    start = F.struct(
+        F.lit(-1).alias("at"), F.lit(0).alias("free"), F.array().cast("array<string>").alias("text"),
+        F.array().cast("array<struct<kind:string,start:int,stop:int,new:string>>").alias("out"),
     )
-    pieces = F.transform(zipped, lambda x: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), F.when(x["hit"].isNotNull(), _moved(x["hit"], key)).alias("to")))
-    nothing = F.array(F.struct(content.alias("gap"), F.lit(None).cast("string").alias("hit"), F.lit(None).cast("struct<kind:string,new:string>").alias("to")))
-    staged = df.withColumn(hold, F.when(content.rlike(_WORTH), pieces).otherwise(nothing))
-    spans = "array<struct<kind:string,start:int,stop:int,new:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        first = s["at"] + F.length(x["gap"])
-        stop = first + F.coalesce(F.length(x["hit"]), F.lit(0))
-        one = F.struct(x["to"]["kind"].alias("kind"), first.alias("start"), stop.alias("stop"), x["to"]["new"].alias("new"))
-        return F.struct(stop.alias("at"), F.when(x["to"].isNull(), s["out"]).otherwise(F.array_append(s["out"], one)).alias("out"))
+        """The next piece: a value at its start counts from ``free`` on, where the one before ended; text before that is gone."""
+        to, stop = x["to"], s["at"] + F.length(x["own"])
+        taken = to.isNotNull() & (s["at"] >= s["free"])
+        free = F.when(taken, s["at"] + to["size"]).otherwise(s["free"])
+        one = F.struct(to["kind"].alias("kind"), s["at"].alias("start"), free.alias("stop"), to["new"].alias("new"))
+        rest = F.when(s["at"] >= free, x["own"]).when(stop > free, x["own"].substr(free - s["at"] + 1, F.length(x["own"]))).otherwise("")
+        return F.struct(
+            stop.alias("at"), free.alias("free"), F.array_append(s["text"], F.concat(F.when(taken, to["new"]).otherwise(""), rest)).alias("text"),
+            F.when(taken, F.array_append(s["out"], one)).otherwise(s["out"]).alias("out"),
+        )
 
-    rewritten = F.array_join(F.flatten(F.transform(hold, lambda x: F.array(x["gap"], F.coalesce(x["to"]["new"], x["hit"], F.lit(""))))), "")
+    plain = F.struct(F.array(marked).alias("text"), F.array().cast("array<struct<kind:string,start:int,stop:int,new:string>>").alias("out"))
+    done = F.aggregate(pieces, start, step, lambda s: F.struct(s["text"].alias("text"), s["out"].alias("out")))
+    staged = df.withColumn(hold, F.when(content.rlike(_WORTH), done).otherwise(plain))
     return staged.withColumns({
-        text: F.when(F.col(text).isNull(), F.lit(None).cast("string")).otherwise(rewritten),
-        found: F.aggregate(hold, start, step, lambda s: s["out"]),
+        text: F.when(F.col(text).isNull(), nothing).otherwise(F.regexp_replace(F.array_join(F.col(hold)["text"], ""), r"\A\n", "")),
+        found: F.col(hold)["out"],
     }).drop(hold)
 
 
