@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidyveil.llm import bpe, decontaminate, exact, pii, pitman_yor, secrets, simhash, toolcalls, toxicity, warc
+from tidyveil.llm import bpe, decontaminate, exact, pii, pitman_yor, secrets, simhash, toolcalls, toxicity, warc, word_bpe
 from tidyveil.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -66,3 +66,12 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_exact_dedup", exact.SQL)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return exact.copies_by_document(table(spark, folder, "documents"))
+
+
+#: The file of a tokenizer whose words have ends.
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op12_word_bpe")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return word_bpe.tokens_by_document(table(spark, folder, "documents"), WORDS)
