@@ -32,7 +32,7 @@ def test_ids_are_those_of_the_library(text, cut):
 def test_characters_one_by_one():
     """Every character between two letters, so that tables of another Unicode version show."""
     known = word_bpe.tokenizer(PATH)
-    letters = {c: b for b, c in enumerate(word_bpe._byte_letters())}
+    letters = {c: b for b, c in enumerate(word_bpe.byte_letters())}
     for first in range(0, 0x20000, 61):
         text = " ".join(f"a{chr(c)}1!" for c in range(first, first + 61) if not 0xD800 <= c < 0xE000)
         normal = LIBRARY.normalizer.normalize_str(text)

@@ -10,9 +10,10 @@ import json
 import sys
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,11 @@ REMEMBERED = 1 << 19
 
 # What the tokenizer file has to say for this module to give the ids its library gives.
 _NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The letter that stands for each byte in vocabularies of byte-level tokenizers: itself if it is visible."""
     visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = iter(range(256, 512))
@@ -46,6 +48,21 @@ def _unassigned() -> np.ndarray:
     return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
+class _Known(dict):
+    """Words that were met, with their ids."""
+
+    def __init__(self, merged: Callable[[bytes], tuple[int, ...]]) -> None:
+        self._merged = merged
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = self._merged(word.encode())
+        if len(word) < 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class WordBpe:
     """A tokenizer file, read once in each worker."""
 
@@ -56,28 +73,29 @@ class WordBpe:
         if (
             spec["normalizer"].get("normalizers") != _NORMAL or spec["decoder"] or any(model[k] != v for k, v in _MODEL.items())
             or [p["type"] for p in split] != ["Split", "ByteLevel"] or not split[0]["invert"] or split[0]["behavior"] != "Removed"
-            or split[1]["add_prefix_space"] or split[1]["use_regex"]
+            or split[0]["pattern"] != {"Regex": _SPLIT} or split[1]["add_prefix_space"] or split[1]["use_regex"]
             or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
         ):
             raise ValueError(f"{path}: not a tokenizer of the kind this module knows")
-        vocabulary, letters, end = model["vocab"], _byte_letters(), model["end_of_word_suffix"] or ""
+        vocabulary, letters, end = model["vocab"], byte_letters(), model["end_of_word_suffix"] or ""
         self.inner = [vocabulary.get(c) for c in letters]
         self.last = [vocabulary.get(c + end) for c in letters]
-        #: By a pair of ids, left << 32 | right: the rank of its merge. By rank: the id that it makes.
-        self.rank: dict[int, int] = {}
+        #: By the left id, then by the right one: the rank of their merge. By rank: the id that it makes.
+        self.rank: dict[int, dict[int, int]] = {i: {} for i in vocabulary.values()}
         self.made: list[int] = []
         for k, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.rank[vocabulary[left] << 32 | vocabulary[right]] = k
+            self.rank[vocabulary[left]][vocabulary[right]] = k
             self.made.append(vocabulary[left + right])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in vocabulary.items()} | {i: s for s, i in self.special.items()}
         longest_first = sorted(self.special, key=len, reverse=True)
         self._at_special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
-        self._words = regex.compile(split[0]["pattern"]["Regex"])
-        self._space, self._unassigned = regex.compile(r"\s+"), _unassigned()
+        # White space only parts words, whatever it is. Letters first: what the others start with is no letter.
+        self._words = regex.compile(r"\p{L}+|'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\s\p{L}\p{N}]+")
+        self._unassigned = _unassigned()
         self._library = Tokenizer.from_file(path)
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._known = _Known(self.merged)
 
     def merged(self, word: bytes) -> tuple[int, ...]:
         """The ids of one word."""
@@ -86,24 +104,24 @@ class WordBpe:
         if n < 2:
             return tuple(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = [r * n + at for at in range(n - 1) if (r := rank.get(symbols[at] << 32 | symbols[at + 1])) is not None]
+        queue = [r * n + at for at in range(n - 1) if (r := rank[symbols[at]].get(symbols[at + 1])) is not None]
         heapify(queue)
         while queue:
             r, at = divmod(heappop(queue), n)
-            left = symbols[at]
-            right_at = after[at] if left >= 0 else -1
-            if right_at < 0:
+            left, right_at = symbols[at], after[at]
+            if left < 0 or right_at < 0:
                 continue
-            now = rank.get(left << 32 | symbols[right_at])
-            if now is None or made[now] != made[r]:  # the pair has changed since
+            now = rank[left].get(symbols[right_at])
+            if now != r and (now is None or made[now] != made[r]):  # the pair has changed since
                 continue
-            symbols[at], symbols[right_at] = new, _ = made[now], -1
+            symbols[at] = new = made[r]
+            symbols[right_at] = -1
             after[at] = beyond = after[right_at]
             if beyond >= 0:
                 before[beyond] = at
-                if (r := rank.get(new << 32 | symbols[beyond])) is not None:
+                if (r := rank[new].get(symbols[beyond])) is not None:
                     heappush(queue, r * n + at)
-            if (ahead := before[at]) >= 0 and (r := rank.get(symbols[ahead] << 32 | new)) is not None:
+            if (ahead := before[at]) >= 0 and (r := rank[symbols[ahead]].get(new)) is not None:
                 heappush(queue, r * n + ahead)
         return tuple([i for i in symbols if i >= 0])
 
@@ -111,11 +129,11 @@ class WordBpe:
         if not part.isascii():
             if self._unassigned[np.frombuffer(part.encode("utf-32-le"), np.uint32)].any():
                 part = self._library.normalizer.normalize_str(part)
-                letters = {c: b for b, c in enumerate(_byte_letters())}
+                letters = {c: b for b, c in enumerate(byte_letters())}
                 found = self._library.pre_tokenizer.pre_tokenize_str(part)
                 return [bytes(letters[c] for c in word).decode() for word, _ in found]
             # Letters are lowered one by one: a last sigma is like any other.
-            part = self._space.sub(" ", unicodedata.normalize("NFC", part)).replace("Σ", "σ")
+            part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
         return self._words.findall(part.lower())
 
     def _pieces(self, text: str, cut: int) -> Iterator[str]:
@@ -130,22 +148,13 @@ class WordBpe:
 
     def encode(self, text: str, ids: array, cut: int = CUT) -> None:
         """Adds the ids of ``text`` to ``ids``."""
-        known = self._known
+        of = self._known.__getitem__
         for piece in self._pieces(text, cut):
-            parts = self._at_special.split(piece) if self._at_special else [piece]
-            for part in parts:
+            for part in self._at_special.split(piece) if self._at_special else [piece]:
                 if part in self.special:
                     ids.append(self.special[part])
-                    continue
-                for word in self._split(part):
-                    found = known.get(word)
-                    if found is None:
-                        found = self.merged(word.encode())
-                        if len(word) < 64:
-                            if len(known) >= REMEMBERED:
-                                known.clear()
-                            known[word] = found
-                    ids.extend(found)
+                else:
+                    ids.extend(chain.from_iterable(map(of, self._split(part))))
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.strings.__getitem__, ids))
