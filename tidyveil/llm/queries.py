@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidyveil.llm import bpe, decontaminate, exact, pii, pitman_yor, secrets, simhash, toolcalls, toxicity, warc, word_bpe
+from tidyveil.llm import align, bpe, decontaminate, exact, hard_negatives, pii, pitman_yor, secrets, simhash, toolcalls, toxicity, warc, word_bpe
 from tidyveil.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -75,3 +75,17 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 @query("op12_word_bpe")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return word_bpe.tokens_by_document(table(spark, folder, "documents"), WORDS)
+
+
+#: The files of the two tokenizers that are aligned.
+BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op13_tokenizer_alignment")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return align.alignment_by_document(table(spark, folder, "documents"), BYTES, PIECES)
+
+
+@query("op11_hard_negatives", hard_negatives.SQL)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.negatives_by_anchor(table(spark, folder, "embeddings"))
