@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.test_text_operators import ODD, ODD_SCHEMA
-from tidyveil.llm import decontaminate, exact, graph, jaccard, pitman_yor, simhash, toolcalls, warc
+from tidyveil.llm import decontaminate, exact, graph, pitman_yor, simhash, toolcalls, warc
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -277,30 +277,30 @@ def test_tool_calls(spark):
     assert toolcalls.link_tool_calls(df.limit(0), toolcalls.SCHEMAS).collect() == []
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_near_copies_of_the_pipeline(spark, monkeypatch, block):
+def test_near_copies_of_the_pipeline(spark):
+    """One document of each group stays, as by comparing all fingerprints with each other."""
     import corpus_pipeline
 
-    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng, rows = random.Random(3), [(900, None), (901, " ")]
-    for k in range(40):  # families whose members differ in up to eight words of their first, so that some of them are near and some are not
-        first = [f"w{rng.randrange(5000)}" for _ in range(150)]
-        for m in range(6):
+    for k in range(30):
+        first = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        for m in range(5):
             words = list(first)
-            for _ in range(m and rng.randrange(1, 9)):
-                words[rng.randrange(150)] = f"x{rng.randrange(5000)}"
+            for _ in range(m and rng.randrange(1, 3)):
+                words[rng.randrange(400)] = f"x{rng.randrange(5000)}"
             rows.append((k * 10 + m, " ".join(words)))
-    sets = {i: set(jaccard.shingles_of((t or "").encode()).tolist()) for i, t in rows}
-    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
-    group = {i: i for i in sets}
-    for a in sets:
-        for b in sets:
-            if a < b and near(a, b) and group[a] != group[b]:
+    rows = [(i, t, "x") for i, t in rows]
+    prints = {i: simhash.fingerprint_of((t or "").encode()) for i, t, _ in rows}
+    group = {i: i for i in prints}
+    for a in prints:
+        for b in prints:
+            if bin((prints[a] ^ prints[b]) & (1 << 64) - 1).count("1") <= 3 and group[a] != group[b]:
                 old, new = max(group[a], group[b]), min(group[a], group[b])
                 group = {i: new if g == old else g for i, g in group.items()}
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = {r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, df, "").collect()}
-    assert kept == set(group.values()) and 40 < len(kept) < 200
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    out = corpus_pipeline.without_near_copies(spark, df, "")
+    kept = {r["doc_id"] for r in out.collect()}
+    assert out.columns == df.columns and kept == set(group.values()) and 31 < len(kept) < 120
 
 
 def test_pipeline(spark):
