@@ -1,7 +1,4 @@
-"""From raw documents to token ids in stages, each written as Parquet and read again as the documents of the next.
-
-The near-duplicate stage takes shingles of five words and a similarity of 0.8, which a fingerprint of 64 bits can't tell.
-"""
+"""From raw documents to token ids in stages, each written as Parquet and read again as the documents of the next."""
 
 from __future__ import annotations
 
@@ -9,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyveil.llm import bpe, decontaminate, exact, jaccard, toxicity
+from tidyveil.llm import bpe, decontaminate, exact, simhash, toxicity
 from tidyveil.llm.common import stored
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -28,8 +25,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies, the document with the smallest doc_id stays."""
-    return jaccard.one_of_each(docs)
+    """Of every group linked by fingerprints of three-word shingles, three bits apart at most, the smallest doc_id stays."""
+    return simhash.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
