@@ -8,6 +8,7 @@ from checks.registry import check, scratch, table
 from checks.steps import CUSTOMER_SQL, CUSTOMER_STEPS
 from tidyveil.plans.fingerprint import file_fingerprints
 from tidyveil.plans.job import job_history, run_job
+from tidyveil.plans.lineage import cut_lineage
 from tidyveil.sources import (
     detect_layout,
     read_csv,
@@ -308,3 +309,47 @@ def _(spark, folder):
         except OutputError:
             turns.append((turn, "refused", None))
     return spark.createDataFrame(turns, "turn int, name string, rows bigint")
+
+
+_BROKEN = "c_name || chr(10) || c_mktsegment || chr(10) || chr(10) || '\"' || c_custkey || '\", end'"
+
+
+@check("csv_line_breaks", f"SELECT c_custkey, {_BROKEN} AS note, c_nationkey FROM customer")
+def _(spark, folder):
+    """Cells with line breaks, quotes and commas, read in many parts of a file."""
+    path = scratch(spark, "breaks.csv")
+    note = F.expr(_BROKEN.replace("chr(10)", "char(10)")).alias("note")
+    write_csv(table(spark, folder, "customer").select("c_custkey", note, "c_nationkey").coalesce(1), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        return cut_lineage(read_csv(spark, path, multi_line=True))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@check("json_array_in_parts", "SELECT o_orderkey, o_custkey, '}' || o_orderpriority || '{[' AS priority FROM orders")
+def _(spark, folder):
+    """One file that holds one array, read in many parts."""
+    path, orders = scratch(spark, "array.json"), table(spark, folder, "orders")
+    record = F.to_json(F.struct("o_orderkey", "o_custkey", F.concat(F.lit("}"), "o_orderpriority", F.lit("{[")).alias("priority")))
+    lines = orders.select(F.lit(1).alias("at"), "o_orderkey", record.alias("value"))
+    edges = spark.createDataFrame([(0, "["), (2, "]")], "at int, value string").select("at", F.lit(0).cast("bigint").alias("o_orderkey"), "value")
+    first = lines.agg(F.min("o_orderkey")).first()[0]
+    comma = F.when((F.col("at") == 1) & (F.col("o_orderkey") > first), ",").otherwise("")
+    lines.unionByName(edges).coalesce(1).sortWithinPartitions("at", "o_orderkey").select(F.concat(comma, "value")).write.text(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        return read_json(spark, path)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@check("run_job_counts_line_breaks", "SELECT 'success' AS status, count(*) AS row_count FROM customer")
+def _(spark, folder):
+    source, target, audit = scratch(spark, "notes.parquet"), scratch(spark, "notes.csv"), scratch(spark, "audit")
+    note = F.expr(_BROKEN.replace("chr(10)", "char(10)")).alias("note")
+    table(spark, folder, "customer").select("c_custkey", note).write.parquet(source)
+    run_job(spark, source, target, audit_path=audit)
+    return job_history(spark, audit).select("status", "row_count")

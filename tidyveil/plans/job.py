@@ -134,7 +134,7 @@ def run_job(
         write_table(data, target, mode="overwrite" if on_exists == "replace" else "errorifexists", delimiter=options.get("delimiter"))
         check_written(spark, target, data)
         record["column_count"] = len(data.columns)
-        record["row_count"] = _count_written(spark, target, options, data)
+        record["row_count"] = _count_written(spark, target, data)
         if fingerprints:
             record["output_hash"] = files_fingerprint(spark, target)
             if files_fingerprint(spark, source) != record["source_hash"]:
@@ -155,11 +155,10 @@ def run_job(
     return audit
 
 
-def _count_written(spark: SparkSession, target: str, options: dict[str, Any], data: DataFrame) -> int:
+def _count_written(spark: SparkSession, target: str, data: DataFrame) -> int:
     kind = format_of(target)
-    if kind in ("csv", "txt"):
-        multi = bool(options.get("multi_line"))
-        return spark.read.options(header=True, quote='"', escape='"', multiLine=multi).csv(target).count()
+    if kind in ("csv", "txt"):  # written cells may hold line breaks, whatever the source was
+        return spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(target).count()
     if kind == "json":
         return spark.read.schema(data.schema).json(target).count()
     return spark.read.parquet(target).count()

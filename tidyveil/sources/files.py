@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import re
+import uuid
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,9 @@ from pyspark.sql import types as T
 from tidyveil.constants import MISSING_TOKENS
 from tidyveil.errors import SanitizeError
 from tidyveil.functions.columns import PLAIN_NUMBER, as_text, ref
-from tidyveil.plans.lineage import cut_lineage
+from tidyveil.plans.lineage import cut_lineage, shared_folder
 from tidyveil.sources.lines import as_latin1, head_lines, numbered_lines, without_head
+from tidyveil.sources.records import block_starts, chunks_of, records, with_changes
 from tidyveil.sources.rows import ROW_ORDER, with_row_id
 
 _WHOLE = r"^[+-]?\d+$"
@@ -98,16 +100,18 @@ def _read_text_cells(
     header_row: int | None,
     latin1: bool,
     names: list[str],
-    multi_line: bool,
+    multi_line: DataFrame | None,
     row_order: bool,
 ) -> DataFrame:
-    """Cells as text under ``names``, what goes beyond them under ``_BEYOND``, and the row order if asked for."""
+    """Cells as text under ``names``, what goes beyond them under ``_BEYOND``, and the row order if asked for.
+
+    ``multi_line`` holds the records of the files where cells may have line breaks.
+    """
     fields = [*(f"c{i}" for i in range(len(names))), "beyond"]
     options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    if header_row:
-        if multi_line:
-            raise SanitizeError("a header below the first row and cells with line breaks cannot be combined")
-        body = without_head(numbered_lines(spark, files), header_row + 1)
+    if header_row or multi_line is not None:
+        lines = numbered_lines(spark, files) if multi_line is None else multi_line
+        body = without_head(lines, 0 if header_row is None else header_row + 1)
         value = as_latin1() if latin1 else F.col("value")
         place = [F.col(c).alias(n) for c, n in zip(("file", "block", "id"), ROW_ORDER)]
         cells = body.select(F.from_csv(value, ", ".join(f"{c} string" for c in fields), options).alias("cells"), *place)
@@ -115,17 +119,31 @@ def _read_text_cells(
     else:
         reader = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in fields])).option("recursiveFileLookup", True)
         encoding = "ISO-8859-1" if latin1 else "UTF-8"
-        cells = with_row_id(reader.options(**options, header=header_row == 0, multiLine=multi_line, encoding=encoding).csv(files))
+        cells = with_row_id(reader.options(**options, header=header_row == 0, encoding=encoding).csv(files))
     named = cells.toDF(*names, _BEYOND, *ROW_ORDER)
     return named if row_order else named.drop(*ROW_ORDER)
 
 
-def _leaves_a_quote_open(delimiter: str) -> Column:
+def _multi_line_records(spark: SparkSession, path: str | list[str], delimiter: str) -> DataFrame:
+    """(value, file, block, id) for each record that is not blank, whatever line breaks its quoted cells hold.
+
+    Line feeds end records; a carriage return before one goes with it. Files are split over tasks.
+    """
+    changes = with_changes(chunks_of(spark, path, "\n"), lambda text: _leaves_a_quote_open(delimiter, text))
+    starts = block_starts(changes)
+    ends = starts.groupBy("file").agg(F.max_by("ends_open", "block").alias("open")).filter("open")
+    unclosed = ends.agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("first")).first()
+    if unclosed["n"]:
+        raise SanitizeError(f"{unclosed['n']} files end within a quoted cell, as {unclosed['first']} does")
+    # Trimmed rather than replaced: bytes that are no UTF-8 have to stay as they are.
+    return records(changes, starts, "\n").select(F.rtrim("value", F.lit("\r")).alias("value"), "file", "block", "id")
+
+
+def _leaves_a_quote_open(delimiter: str, text: Column | None = None) -> Column:
     """Lines of which the last quoted cell does not end: the cell goes on in the next line."""
-    d = re.escape(delimiter)
+    d, value = re.escape(delimiter), F.col("value") if text is None else text
     cell = rf'(?:"(?:[^"]|"")*+"[^{d}]*+|[^"{d}][^{d}]*+|)'
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return F.when(quotes % 2 == 1, ~F.col("value").rlike(rf"^{cell}(?:{d}{cell})*+$")).otherwise(False)
+    return F.when(F.contains(value, F.lit('"')), ~value.rlike(rf"(?s)^{cell}(?:{d}{cell})*+$")).otherwise(False)
 
 
 def _encoding_of(name: str | None) -> bool | None:
@@ -160,15 +178,20 @@ def read_text_table(
     lines = numbered_lines(spark, path)
     if not lines.inputFiles():
         raise SanitizeError(f"no files at {path!r}")
+    is_open = _leaves_a_quote_open(delimiter)
+    if multi_line:
+        lines, is_open = _multi_line_records(spark, path, delimiter), F.lit(False)
     # One scan: what every file is like. Files that are alike form a group; the driver gets the groups.
-    about = lines.groupBy("file").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.count_if(_leaves_a_quote_open(delimiter)).alias("open")
-    )
+    figures = [F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.count_if(is_open).alias("open")]
+    if not header_row:  # the first line comes along; a later one takes two more looks at the first block
+        figures.append(F.min_by(F.when(F.col("block") == 0, F.col("value")), F.when(F.col("block") == 0, F.col("id"))).alias("head"))
+    about = lines.groupBy("file").agg(*figures)
     wanted = header_row or 0
-    heads = head_lines(lines, wanted + 1).filter(F.col("row") == wanted).select(F.col("file").alias("of"), F.col("value").alias("head"))
-    of_file = about.join(heads, F.col("file") == F.col("of"), "left").select(
-        "file", "open", (~F.col("utf8") if latin1 is None else F.lit(latin1)).alias("latin1"), "head"
-    )
+    is_latin1 = (~F.col("utf8") if latin1 is None else F.lit(latin1)).alias("latin1")
+    if wanted:
+        heads = head_lines(lines, wanted + 1).filter(F.col("row") == wanted).select(F.col("file").alias("of"), F.col("value").alias("head"))
+        about = about.join(heads, F.col("file") == F.col("of"), "left")
+    of_file = about.select("file", "open", is_latin1, "head")
     of_file = of_file.withColumn("head", F.when(F.col("latin1"), as_latin1("head")).otherwise(F.col("head")))
     key = F.col("head") if header_row is not None else F.lit(None).cast("string")
     facts = of_file.withColumn("key", key)
@@ -182,7 +205,7 @@ def read_text_table(
         raise SanitizeError(f"the files at {path!r} have more than {_MOST_GROUPS} different headers")
     if short := next((g for g in groups if g["short"]), None):
         raise SanitizeError(f"{short['first']['file']} has no line {wanted}")
-    if not multi_line and (broken := [g for g in groups if g["open"]]):
+    if broken := [g for g in groups if g["open"]]:
         raise SanitizeError(
             f"{sum(g['open'] for g in broken)} lines leave a quoted cell open, as in {broken[0]['first']['file']}: read with multi_line=True"
         )
@@ -192,12 +215,15 @@ def read_text_table(
     for g in groups:
         # The path itself is read where its files are alike, rather than a long list of them.
         files: str | list[str] = path
+        own = lines if multi_line else None
         if len(groups) > 1:
             same = facts.filter((F.col("latin1") == g["latin1"]) & F.col("key").eqNullSafe(F.lit(g["key"])))
+            own = lines.join(same.select("file"), "file", "left_semi") if multi_line else None
+        if len(groups) > 1 and not multi_line:
             files = sorted(plain_path(r["file"]) for r in same.select("file").collect())
         cells = next(csv.reader([g["first"]["head"].lstrip("\ufeff")], delimiter=delimiter))
         names = [f"_c{i}" for i in range(len(cells))] if header_row is None else _column_names(cells)
-        parts.append(_read_text_cells(spark, files, delimiter, header_row, g["latin1"], names, multi_line, row_order))
+        parts.append(_read_text_cells(spark, files, delimiter, header_row, g["latin1"], names, own, row_order))
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part, allowMissingColumns=True)
@@ -225,9 +251,10 @@ def read_delimited(
     name, and a column that a file lacks is missing in its rows. ``encoding`` is ``"utf-8"`` or
     ``"latin-1"``; if it is not given, files that are not UTF-8 are read as Latin-1. Cells that stand
     for a missing value become NULL. ``infer_types`` turns columns of numbers or truth values into
-    such (one aggregate). Files are split over tasks unless ``multi_line``, which cells with line
-    breaks need; without it a line that leaves a quoted cell open is an error. So are rows with more
-    cells than their header, unless ``ragged="cut"``. ``row_order`` adds the columns ``ROW_ORDER``.
+    such (one aggregate). Files are split over tasks. Cells with line breaks need ``multi_line``, which
+    takes one more pass to find where records begin, and which refuses files that end within a quoted
+    cell; without it a line that leaves a quoted cell open is an error. So are rows with more cells than
+    their header, unless ``ragged="cut"``. ``row_order`` adds the columns ``ROW_ORDER``.
     """
     table = read_text_table(spark, path, delimiter, header_row, encoding, multi_line, ragged, row_order, not infer_types)
     return inferred(table) if infer_types else table
@@ -247,31 +274,96 @@ def read_csv(
     return read_delimited(spark, path, ",", header_row, encoding, infer_types, multi_line, ragged, row_order)
 
 
+_NOT_JSON = "__not_json"
+
+
+def _outside(text: Column) -> Column:
+    """``text`` without quoted parts; one that is not closed leaves its quote and all behind it."""
+    return F.regexp_replace(text, r'(?s)"(?:[^"\\]|\\.)*+"', "")
+
+
+def _deeper(text: Column) -> Column:
+    """By how many brackets a chunk goes deeper, with the closing brace that ends it."""
+    bare = F.regexp_replace(_outside(text), '(?s)".*$', "")
+    opened, closed = (F.length(F.regexp_replace(bare, kind, "")) for kind in (r"[^\[{]", r"[^\]]"))
+    return (opened - closed - F.when(F.contains(_outside(text), F.lit('"')), 0).otherwise(1)).cast("bigint")
+
+
+def _array_records(spark: SparkSession, files: str | list[str], row_order: bool) -> tuple[str, list[str]]:
+    """A folder with the records of array files as JSON lines, and the files that are no arrays of records after all.
+
+    A file is cut at closing braces; a record ends where one brings it back to the depth of the array.
+    """
+    changes = with_changes(chunks_of(spark, files, "}"), lambda text: F.contains(_outside(text), F.lit('"')), _deeper)
+    starts = block_starts(changes)
+    found = records(changes, starts, "}", 1)
+    first = F.regexp_replace("value", "^\\x{FEFF}", "")
+    body = F.regexp_replace(F.regexp_replace(first, r"^\s*[\[,]\s*\{", ""), r"[\r\n]+", " ")
+    head = F.lit("{")
+    if row_order:  # the place goes into the record, as its copy lies elsewhere
+        place = F.to_json(F.struct(*[F.col(c).alias(n) for c, n in zip(("file", "block", "id"), ROW_ORDER)]))
+        head = F.concat(F.regexp_replace(place, r"\}$", ""), F.when(F.trim(body) == "", "").otherwise(","))
+    sound = F.col("whole") & first.rlike(r"^\s*[\[,]\s*\{")
+    closer = ~F.col("whole") & first.rlike(r"^\s*(\[\s*)?\]\s*$")
+    text = F.when(sound, F.concat(head, body, F.lit("}"))).otherwise(F.concat(F.lit("!"), F.col("file")))
+    folder = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    found.filter(~closer).select(text.alias("value")).write.text(folder)
+    # The last brace of an array is followed by its bracket, which has no brace behind it.
+    ends = starts.groupBy("file").agg(F.max_by(F.struct("ends_open", "ends_deep"), "block").alias("end"))
+    cut_off = ends.filter("end.ends_open OR end.ends_deep <> -1").select("file")
+    odd = spark.read.text(folder).filter(F.startswith("value", F.lit("!"))).select(F.substring("value", 2, 1 << 30).alias("file"))
+    return folder, sorted(plain_path(r["file"]) for r in cut_off.unionByName(odd).distinct().collect())
+
+
+def _read_records(spark: SparkSession, files: str | list[str]) -> DataFrame:
+    """JSON lines; what cannot be read as a record is an error."""
+    reader = spark.read.option("recursiveFileLookup", True).option("columnNameOfCorruptRecord", _NOT_JSON)
+    table = reader.json(files)
+    if _NOT_JSON in table.columns:
+        lines = spark.read.option("recursiveFileLookup", True).option("columnNameOfCorruptRecord", _NOT_JSON).schema(f"__any string, {_NOT_JSON} string").json(files)
+        seen = lines.select(_NOT_JSON, "__any", F.col("_metadata.file_path").alias("file")).filter(F.col(_NOT_JSON).isNotNull())
+        bad = seen.agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("first"), F.max("__any").alias("any")).first()
+        raise SanitizeError(f"{bad['n']} lines hold no JSON record, the first of them in {bad['first']}")
+    return table
+
+
 def read_json(spark: SparkSession, path: str | list[str], row_order: bool = False) -> DataFrame:
     """JSON lines, or files that each hold one array of records; every file for itself.
 
-    A file is an array if it opens with a bracket that its first line does not close, or that closes in its only line, and
-    its last line ends with the closing one. Lines are split over tasks; an array is read whole by one task per
-    file, so large data should be in lines.
+    A file that begins with a bracket and is a sound array of records to its end is read as that, every other one as
+    lines; a line that holds no record is an error, so an array that is cut off or followed by something is one.
+    Both are split over tasks: the records of arrays are found in all parts of a file at once and copied as lines to
+    ``spark.checkpoint.dir``.
     """
-    lines = numbered_lines(spark, path)
-    place = F.struct("block", "id")
-    ends = lines.groupBy("file").agg(F.min_by("value", place).alias("first"), F.max_by("value", place).alias("last"), F.count(F.lit(1)).alias("n"))
-    first = F.regexp_replace("first", "^\\x{FEFF}?\\s+|^\\x{FEFF}", "")
-    alone = F.try_parse_json("first").isNotNull()
-    is_array = first.startswith("[") & F.rtrim("last").endswith("]") & ((F.col("n") == 1) | ~alone)
-    kinds = cut_lineage(ends.select("file", is_array.alias("is_array")))
+    chunks = chunks_of(spark, path, "}")
+    begins = chunks.filter("block = 0").groupBy("file").agg(F.min_by("value", "id").alias("first"))
+    bracket = F.regexp_replace("first", "^\\x{FEFF}?\\s+|^\\x{FEFF}", "").startswith("[")
+    kinds = cut_lineage(begins.select("file", bracket.alias("is_array")))
     counts = {r["is_array"]: r["count"] for r in kinds.groupBy("is_array").count().collect()}
-    parts = []
-    for arrays in (False, True):
-        if counts.get(arrays):
-            files: str | list[str] = path
-            if len(counts) > 1:
-                files = sorted(plain_path(r["file"]) for r in kinds.filter(F.col("is_array") == arrays).select("file").collect())
-            part = spark.read.option("multiLine", arrays).option("recursiveFileLookup", True).json(files)
-            parts.append(with_row_id(part) if row_order else part)
-    if not parts:
+    if not counts:
         return spark.read.json(path)
+
+    def those(wanted: bool) -> str | list[str]:
+        return path if len(counts) == 1 else sorted(plain_path(r["file"]) for r in kinds.filter(F.col("is_array") == wanted).select("file").collect())
+
+    parts, lines = [], those(False) if counts.get(False) else []
+    if counts.get(True):
+        arrays = those(True)
+        folder, no_arrays = _array_records(spark, arrays, row_order)
+        if no_arrays:
+            # The reader of lines takes what begins as a record and passes over what follows it in the line.
+            is_whole = F.col("value").rlike(r"(?s)^\x{FEFF}?\s*(\[.*\]|\{.*\})\s*$") & F.try_parse_json("value").isNotNull()
+            odd = numbered_lines(spark, no_arrays).filter(~is_whole).agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("first")).first()
+            if odd["n"]:
+                raise SanitizeError(f"{odd['n']} lines hold no JSON record, the first of them in {odd['first']}")
+            lines = no_arrays + ([lines] if isinstance(lines, str) else lines)
+            arrays = sorted(set(plain_path(r["file"]) for r in kinds.filter("is_array").select("file").collect()) - set(no_arrays))
+            folder = _array_records(spark, arrays, row_order)[0] if arrays else None
+        if folder:
+            parts.append(_read_records(spark, folder))
+    if lines:
+        table = _read_records(spark, lines)
+        parts.append(with_row_id(table) if row_order else table)
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
