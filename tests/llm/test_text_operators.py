@@ -167,11 +167,41 @@ def test_pseudonyms_beside_other_values(spark):
         assert out + old[at:] == row["text"]
 
 
+def test_dates_are_permuted(spark):
+    """All slashed dates of two centuries and the ends of the calendar: none collides, each keeps its format and its reading."""
+    from pyspark.sql import functions as F
+
+    days = spark.sql("SELECT explode(sequence(date'1880-01-01', date'2080-12-31')) AS d UNION ALL SELECT explode(sequence(date'0001-01-01', date'0003-12-31')) UNION ALL SELECT explode(sequence(date'9997-01-01', date'9999-12-31'))")
+    styles = {"us": "MM/dd/yyyy", "eu": "dd/MM/yyyy", "iso": "yyyy-MM-dd", "dot": "dd.MM.yyyy"}
+    texts = days.select(F.explode(F.array(*[F.struct(F.lit(k).alias("style"), F.date_format("d", f).alias("text")) for k, f in styles.items()])).alias("x")).select("x.*")
+    done = pii.pseudonymize_texts(texts.withColumn("old", F.col("text")).dropDuplicates(["text"]), "k").cache()
+    assert done.filter("size(pii) <> 1").count() == 0
+    assert done.select("text").distinct().count() == done.count()
+    shape = lambda c: F.regexp_replace(c, "[0-9]", "0")
+    assert done.filter(shape(F.col("text")) != shape(F.col("old"))).count() == 0
+    month_first = lambda c: F.try_to_date(c, "MM/dd/yyyy").isNotNull()
+    slashed = done.filter("old LIKE '%/%'")
+    assert slashed.filter(month_first(F.col("old")) != month_first(F.col("text"))).count() == 0
+    assert slashed.filter(F.coalesce(F.try_to_date("text", "MM/dd/yyyy"), F.try_to_date("text", "dd/MM/yyyy")).isNull()).count() == 0
+    same = done.filter("style = 'iso'").select(F.to_date("old").alias("o"), F.to_date("text").alias("t"))
+    dots = done.filter("style = 'dot'").select(F.to_date("old", "dd.MM.yyyy").alias("o"), F.to_date("text", "dd.MM.yyyy").alias("u"))
+    assert same.join(dots, "o").filter("t <> u").count() == 0
+    done.unpersist()
+
+
+def test_addresses_and_keys(spark):
+    df = spark.createDataFrame([("1.1.1.1",), ("01.1.1.1",), ("0.0.0.0",), ("255.255.255.255",), ("1.1.1.00",)], "text string").selectExpr("text", "text AS old")
+    new = {r["old"]: r["text"] for r in pii.pseudonymize_texts(df, "k").collect()}
+    assert new["01.1.1.1"] == "01.1.1.1" and new["1.1.1.00"] == "1.1.1.00" and len(set(new.values())) == 5
+    plan = pii.pseudonymize_texts(df, "very-secret-key")._jdf.queryExecution()
+    assert "very-secret-key" not in plan.toString() and "very-secret-key" not in plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
 def test_permutation_is_one(spark):
     from pyspark.sql import functions as F
 
     for left, right in ((10, 100), (7, 11), (1, 5), (26, 26)):
-        values = [r[0] for r in spark.range(left * right).select(pii.permuted(F.col("id"), left, right, "k", "t")).collect()]
+        values = [r[0] for r in spark.range(left * right).select(pii.permuted(F.col("id"), left, right, F.lit("k"), "t")).collect()]
         assert sorted(values) == list(range(left * right)) and (left * right < 20 or values != sorted(values))
 
 

@@ -41,8 +41,10 @@ IBAN_LENGTHS = {
 }
 #: Texts without a match of this hold nothing to look for.
 _WORTH = "[0-9@]"
-#: Days of a block within which dates are permuted; blocks are counted from 1900-01-01.
-_DAYS = 1 << 16
+#: Days from 0001-01-01 to 9999-12-31, the dates that four digits of a year can write, and two factors of their number.
+_FIRST, _DAYS, _SIDES = "0001-01-01", 3_652_059, (1717, 2127)
+#: How often a number is moved on until it is one of those wanted. Of the rarest kind, three in five are.
+_WALK = 96
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -50,12 +52,12 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def permuted(value: Column, left: Column | int, right: Column | int, key: str, kind: str) -> Column:
+def permuted(value: Column, left: Column | int, right: Column | int, key: Column, kind: str) -> Column:
     """A keyed permutation of the whole numbers below ``left * right``: halves are shifted in turn by a keyed digest of the other."""
     a, b = (x if isinstance(x, Column) else F.lit(x).cast("long") for x in (left, right))
 
     def shift(i: Column, half: Column) -> Column:
-        mixed = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), a, b, i, half), 256)
+        mixed = F.sha2(F.concat_ws("|", key, F.lit(kind), a, b, i, half), 256)
         return F.conv(F.substring(mixed, 1, 13), 16, 10).cast("long")
 
     start = F.struct(F.floor(value / b).cast("long").alias("l"), F.pmod(value, b).cast("long").alias("r"))
@@ -74,7 +76,7 @@ def _power(base: int, n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(base**k).cast("long") for k in range(10)]), (n + 1).cast("int"))
 
 
-def _permuted_digits(digits: Column, key: str, kind: str) -> Column:
+def _permuted_digits(digits: Column, key: Column, kind: str) -> Column:
     """Of up to 18 digits, as many."""
     n = F.length(digits)
     half = F.floor(n / 2)
@@ -82,7 +84,7 @@ def _permuted_digits(digits: Column, key: str, kind: str) -> Column:
     return F.when(n == 0, digits).otherwise(F.lpad(number.cast("string"), n, "0"))
 
 
-def _permuted_letters(letters: Column, first: str, key: str, kind: str) -> Column:
+def _permuted_letters(letters: Column, first: str, key: Column, kind: str) -> Column:
     """Of up to 12 letters from ``first`` on, as many."""
     value = F.aggregate(F.split(letters, ""), F.lit(0).cast("long"), lambda n, c: F.when(c == "", n).otherwise(n * 26 + F.ascii(c) - ord(first)))
     n = F.length(letters)
@@ -119,7 +121,7 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), lambda n, c: F.when(c == "", n).otherwise((n * F.when(c.between("A", "Z"), 100).otherwise(10) + value(c)) % 97))
 
 
-def _email(hit: Column, key: str) -> Column:
+def _email(hit: Column, key: Column) -> Column:
     local, place = F.substring_index(hit, "@", 1), F.substring_index(hit, "@", -1)
     parts = F.regexp_extract_all(local, F.lit("[a-z]{1,12}|[A-Z]{1,12}|[0-9]{1,12}|[^A-Za-z0-9]"), F.lit(0))
     one = lambda p: (
@@ -129,7 +131,7 @@ def _email(hit: Column, key: str) -> Column:
     return F.concat(F.array_join(F.transform(parts, one), ""), F.lit("@"), place)
 
 
-def _iban(hit: Column, key: str) -> Column:
+def _iban(hit: Column, key: Column) -> Column:
     def checked(text: Column) -> Column:
         country, bank = F.substring(text, 1, 2), F.substring(text, 5, 99)
         parts = F.regexp_extract_all(bank, F.lit("[0-9]{1,18}|[A-Z]+"), F.lit(0))
@@ -159,7 +161,7 @@ def _digits(hit: Column) -> Column:
     return F.regexp_replace(hit, "[^0-9]", "")
 
 
-def _ssn(hit: Column, key: str) -> Column:
+def _ssn(hit: Column, key: Column) -> Column:
     area, group, serial = (F.substring(hit, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
     good = (area >= 1) & (area <= 899) & (area != 666) & (group >= 1) & (serial >= 1)
     index = ((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1) * 9999 + serial - 1
@@ -174,23 +176,31 @@ def _ssn(hit: Column, key: str) -> Column:
     return F.when(good, _let(permuted(index, 898 * 99, 9999, key, "ssn"), spelled))
 
 
-def _date(hit: Column, key: str) -> Column:
-    styles = {"^[0-9]{4}-": "yyyy-MM-dd", r"^[0-9]{2}\.": "dd.MM.yyyy"}
+def _walked(value: Column, wanted: Callable[[Column], Column], key: Column, kind: str) -> Column:
+    """A keyed permutation of those days that are ``wanted``: what lands on another is moved on until it does not."""
+    move = lambda n: permuted(n, *_SIDES, key, kind)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), move(value), lambda n, _: F.when(wanted(n), n).otherwise(move(n)))
 
-    def moved(style: str) -> Column:
-        day = F.datediff(F.try_to_timestamp(hit, F.lit(style)).cast("date"), F.lit("1900-01-01").cast("date")).cast("long")
-        block = lambda d: F.floor(d / _DAYS)
-        within = lambda d: permuted(F.pmod(d, F.lit(_DAYS)), 256, 256, key, "date") + block(d) * _DAYS
-        return _let(_let(day, within), lambda n: F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), n.cast("int")), style))
 
-    us, europe = moved("MM/dd/yyyy"), moved("dd/MM/yyyy")
-    out = F.coalesce(us, europe)
-    for pattern, style in styles.items():
-        out = F.when(hit.rlike(pattern), moved(style)).otherwise(out)
-    return out
+def _date(hit: Column, key: Column) -> Column:
+    """Dates of all styles move alike, but for those that can only be read as day/month: they move among themselves.
+
+    Written as month/day, such a pseudonym would be read otherwise than it is meant, or be that of another date.
+    """
+    first = F.lit(_FIRST).cast("date")
+    of_day = lambda n: F.date_add(first, n.cast("int"))
+
+    def moved(style: str, late: bool = False) -> Column:
+        day = F.datediff(F.try_to_date(hit, style), first).cast("long")
+        after = lambda n: F.dayofmonth(of_day(n)) > 12
+        move = lambda d: _walked(d, after, key, "day") if late else permuted(d, *_SIDES, key, "date")
+        return _let(day, lambda d: F.when(d.between(0, _DAYS - 1), _let(move(d), lambda n: F.date_format(of_day(n), style))))
+
+    slashed = F.coalesce(moved("MM/dd/yyyy"), moved("dd/MM/yyyy", True))
+    return F.when(hit.rlike("^[0-9]{4}-"), moved("yyyy-MM-dd")).when(hit.rlike(r"^[0-9]{2}\."), moved("dd.MM.yyyy")).otherwise(slashed)
 
 
-def _card(hit: Column, key: str) -> Column:
+def _card(hit: Column, key: Column) -> Column:
     def checked(d: Column) -> Column:
         n = F.length(d)
         body = F.concat(F.substring(d, 1, 1), _permuted_digits(d.substr(F.lit(2), n - 2), key, "card"))
@@ -200,7 +210,7 @@ def _card(hit: Column, key: str) -> Column:
     return _let(_digits(hit), checked)
 
 
-def _phone(hit: Column, key: str) -> Column:
+def _phone(hit: Column, key: Column) -> Column:
     def checked(d: Column) -> Column:
         n = d.substr(F.length(d) - 9, F.lit(10))
         area, exchange, line = (n.substr(a, k).cast("long") for a, k in ((1, 3), (4, 3), (7, 4)))
@@ -213,9 +223,9 @@ def _phone(hit: Column, key: str) -> Column:
     return _let(_digits(hit), checked)
 
 
-def _ip(hit: Column, key: str) -> Column:
+def _ip(hit: Column, key: Column) -> Column:
     def checked(parts: Column) -> Column:
-        good = F.forall(parts, lambda p: (p <= 255))
+        good = F.forall(parts, lambda p: (p <= 255)) & ~hit.rlike(r"(^|\.)0[0-9]")  # no second way to write a number
         number = F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n * 256 + p)
         spelled = lambda n: F.concat_ws(".", *[F.floor(n / 256**k) % 256 for k in (3, 2, 1, 0)])
         return F.when(good, _let(permuted(number, 1 << 16, 1 << 16, key, "ip"), spelled))
@@ -237,7 +247,7 @@ def _lengths(kind: str, hit: Column, shorter: bool) -> Column:
     return F.array(hit)
 
 
-def _moved(window: Column, key: str) -> Column:
+def _moved(window: Column, key: Column) -> Column:
     """kind, pseudonym and length of the value that starts at the second character of ``window``; NULL without one.
 
     The first kind that has a match there which passes its check counts. Shorter card numbers come last: of six lengths,
@@ -258,15 +268,19 @@ def pseudonymize_texts(df: DataFrame, key: str, text: str = "text", found: str =
     """``df`` with the personal values in ``text`` replaced, and a column of where they were.
 
     ``found`` is an array of kind, start, stop (exclusive; both in code points of the text as it was) and new, in order. Numbers
-    that fail their check stay as they are. The same key gives the same pseudonyms in every run; whoever has it can undo them.
+    that fail their check stay as they are. The same key gives the same pseudonyms in every run; whoever has it can undo them;
+    it stands in no plan. Phone numbers are those of North America.
     A missing text stays missing and has none; empty and repeated texts are no special case; an empty table gives an
     empty one. Other columns pass through; one named ``found`` is replaced.
     """
     content, hold = text_of(text), f"__{found}"
     marked = F.concat(F.lit("\n"), content)  # so that no value starts at the first character
+    # From a table of one row, as a constant would stand in plans and event logs for all to read.
+    secret, hidden = f"{hold}_key", df.sparkSession.createDataFrame([(key,)], "key string").scalar()
+    df = df.withColumn(secret, hidden)
     nothing = F.lit(None).cast("string")
     zipped = F.arrays_zip(F.split(marked, _STARTS, -1).alias("own"), F.concat(F.array(nothing), F.regexp_extract_all(marked, F.lit(_WINDOWS), F.lit(1))).alias("window"))
-    pieces = F.transform(zipped, lambda x: F.struct(x["own"].alias("own"), F.when(x["window"].isNotNull(), _moved(x["window"], key)).alias("to")))
+    pieces = F.transform(zipped, lambda x: F.struct(x["own"].alias("own"), F.when(x["window"].isNotNull(), _moved(x["window"], F.col(secret))).alias("to")))
     start = F.struct(
         F.lit(-1).alias("at"), F.lit(0).alias("free"), F.array().cast("array<string>").alias("text"),
         F.array().cast("array<struct<kind:string,start:int,stop:int,new:string>>").alias("out"),
@@ -290,7 +304,7 @@ def pseudonymize_texts(df: DataFrame, key: str, text: str = "text", found: str =
     return staged.withColumns({
         text: F.when(F.col(text).isNull(), nothing).otherwise(F.regexp_replace(F.array_join(F.col(hold)["text"], ""), r"\A\n", "")),
         found: F.col(hold)["out"],
-    }).drop(hold)
+    }).drop(hold, secret)
 
 
 def pseudonyms_by_document(documents: DataFrame, key: str) -> DataFrame:
