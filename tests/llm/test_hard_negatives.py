@@ -108,11 +108,13 @@ def test_descent_skips_nodes():
     points = np.round(np.repeat(middles, 50, axis=0) + rng.normal(0, 3, (2000, 8)))
     longest = float((points**2).sum(axis=1).max())
     block = h.Block(points, np.zeros(2000, np.int64), [np.array([i]) for i in range(2000)], longest)
-    seen, real = [], block.points
-    block.points = type("Seen", (), {"__getitem__": lambda self, at: (seen.append(at.stop - at.start), real[at])[1]})()
-    query = points[700]
+    query, wide = points[700], np.array([[float(1 << 62)]])
     scores = points @ query
-    found = list(block.search(query[None], np.array([0]), [(np.array([-(1 << 62)]), np.array([1 << 62]))], 5, True))
-    assert sorted((s, -i) for _, _, s, i in found) == sorted((int(scores[i]), -i) for i in np.lexsort((np.arange(2000), -scores))[:5])
-    assert sum(seen) < 600
-
+    best = [(int(scores[i]), int(i)) for i in np.lexsort((np.arange(2000), -scores))[:5]]
+    for one in (block, h.Block.unpack(block.pack())):
+        seen = []
+        real = one.points
+        one.points = type("Seen", (), {"__getitem__": lambda self, at, real=real, seen=seen: (seen.append(len(at)), real[at])[1]})()
+        found = one.search(query[None], np.array([0]), -wide, wide, 5, True)
+        assert [(s, i) for _, _, s, i in found.tolist()] == best
+        assert sum(seen) < 700

@@ -8,7 +8,6 @@ a tree each. Anchors visit their own cell first, then every other that what they
 
 from __future__ import annotations
 
-import heapq
 import io
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,6 +23,8 @@ from tidyveil.llm.common import prepare, stored
 
 #: Points of one block, anchors that meet a block at once, points of a leaf, children of a node.
 BLOCK, TOGETHER, LEAF, FAN = 4096, 512, 64, 16
+#: Leaves of a block that a query looks at before it asks whether others can better what it has.
+FIRST = 8
 #: The cells are found among so many points at most, or so many bytes of them. Every point is then put into its cell.
 SAMPLE, SAMPLE_BYTES, CELLS = 32_768, 64 << 20, 2_048
 #: By which factor covering radii shrink from level to level, where the number of children allows.
@@ -133,49 +134,69 @@ class Block:
         self.tree = Tree(x["center"], x["radius"], x["first"], x["last"], x["leaf"], np.empty(0, np.int64))
         return self
 
-    def search(self, vectors: np.ndarray, labels: np.ndarray, windows: list[tuple[np.ndarray, np.ndarray]], most: int, same: bool) -> Iterator[tuple[int, int, int, int]]:
-        """Query, window, score and id of the ``most`` best in each window of each query, ties by the smaller id.
+    def search(self, vectors: np.ndarray, labels: np.ndarray, least: np.ndarray, greatest: np.ndarray, most: int, same: bool) -> np.ndarray:
+        """Rows of query, window, score and id: the ``most`` best in each window of each query, ties by the smaller id.
 
-        A window has its least and greatest score; ``same`` asks for points of the query's label, else for those of others.
+        ``least`` and ``greatest`` hold the scores between which the windows lie, a row for each query; ``same`` asks for
+        points of the query's label, else for those of others. All queries go down the tree together, level by level. Of
+        the leaves that a query reaches, the best FIRST are verified, and the others where they can still better the
+        worst that is kept.
         """
-        squared = (vectors**2).sum(axis=1)
-        low, high = bounds(vectors @ self.centers.T, squared, self.tree.radius, self.longest)
-        for q, (least, greatest) in enumerate(windows):
-            if len(least):
-                for w, found in enumerate(self._descend(vectors[q], labels[q], low[q], high[q], least, greatest, most, same)):
-                    for score, minus_id in found:
-                        yield q, w, score, -minus_id
-
-    def _descend(self, vector, label, low, high, least, greatest, most, same) -> list[list[tuple[int, int]]]:
-        """Best first: the node with the greatest bound is next, until it can't better the worst kept score of any window."""
-        tree, floor, top, n = self.tree, least.astype(float), greatest.astype(float), len(least)
-        found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        queue = [(-high[0], 0)]
-        while queue:
-            bound, node = heapq.heappop(queue)
-            if -bound < floor.min():
-                break
-            if not np.any((high[node] >= floor) & (low[node] <= top)):
-                continue
-            first, last = tree.first[node], tree.last[node]
-            if not tree.leaf[node]:
-                for child in range(first, last):
-                    heapq.heappush(queue, (-high[child], child))
-                continue
-            scores = self.points[first:last] @ vector
-            fits = (self.labels[first:last] == label) == same
-            for w in range(n):
-                kept = found[w]
-                for i in np.flatnonzero(fits & (scores >= floor[w]) & (scores <= top[w])):
-                    for one in self.ids[first + i][:most]:
-                        entry = (int(scores[i]), -int(one))
-                        if len(kept) < most:
-                            heapq.heappush(kept, entry)
-                        elif entry > kept[0]:
-                            heapq.heapreplace(kept, entry)
-                if len(kept) == most:
-                    floor[w] = max(floor[w], kept[0][0])
-        return found
+        floor, squared = least.astype(float), (vectors**2).sum(axis=1)
+        nodes, alive, leaves, reach = np.array([0]), np.ones((len(vectors), 1), bool), [], []
+        while len(nodes):
+            low, high = bounds(vectors @ self.centers[nodes].T, squared, self.tree.radius[nodes], self.longest)
+            alive &= _may_hold(low, high, floor, greatest)
+            is_leaf = self.tree.leaf[nodes]
+            for k in np.flatnonzero(is_leaf & alive.any(axis=0)):
+                leaves.append(nodes[k])
+                reach.append((alive[:, k], low[:, k], high[:, k]))
+            inner = np.flatnonzero(~is_leaf & alive.any(axis=0))
+            first, last = self.tree.first[nodes[inner]], self.tree.last[nodes[inner]]
+            nodes = np.concatenate([np.arange(a, b) for a, b in zip(first, last)]) if len(inner) else inner
+            alive = np.repeat(alive[:, inner], last - first, axis=1)
+        if not leaves:
+            return np.empty((0, 4), np.int64)
+        alive, low, high = (np.stack(x, axis=1) for x in zip(*reach))
+        sizes = self.tree.last[leaves] - self.tree.first[leaves]
+        points = np.concatenate([np.arange(self.tree.first[n], self.tree.last[n]) for n in leaves])
+        ends = np.cumsum(sizes)
+        scores, fits = np.full((len(vectors), len(points)), -np.inf), (self.labels[points] == labels[:, None]) == same
+
+        def verify(wanted: np.ndarray) -> None:
+            for k in np.flatnonzero(wanted.any(axis=0)):
+                rows, part = np.flatnonzero(wanted[:, k]), slice(ends[k] - sizes[k], ends[k])
+                exact = vectors[rows] @ self.points[points[part]].T
+                scores[rows, part] = np.where(fits[rows, part], exact, -np.inf)
+
+        bound = np.where(alive, high, -np.inf)
+        best = np.zeros_like(alive)
+        np.put_along_axis(best, np.argpartition(-bound, min(FIRST, len(leaves)) - 1, axis=1)[:, :FIRST], True, axis=1)
+        verify(best & alive)
+        if scores.shape[1] >= most:
+            for w in range(floor.shape[1]):
+                inside = np.where(scores <= greatest[:, w, None], scores, -np.inf)
+                floor[:, w] = np.maximum(floor[:, w], np.partition(inside, -most, axis=1)[:, -most])
+        verify(alive & ~best & _may_hold(low, high, floor, greatest))
+        found = [np.empty((0, 4), np.int64)]
+        for w in range(floor.shape[1]):
+            q, at = np.nonzero((scores >= floor[:, w, None]) & (scores <= greatest[:, w, None]))
+            ids = [self.ids[i][:most] for i in points[at]]
+            times = np.array(list(map(len, ids)), np.int64)
+            q, score, ids = np.repeat(q, times), np.repeat(scores[q, at], times).astype(np.int64), np.concatenate([np.empty(0, np.int64), *ids])
+            order = np.lexsort((ids, -score, q))
+            q, score, ids = q[order], score[order], ids[order]
+            nth = np.arange(len(q)) - np.searchsorted(q, q)
+            found.append(np.column_stack([q, np.full(len(q), w), score, ids])[nth < most])
+        return np.concatenate(found)
+
+
+def _may_hold(low: np.ndarray, high: np.ndarray, floor: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Whether nodes (columns) can hold something for any of the windows of queries (rows)."""
+    may = np.zeros(low.shape, bool)
+    for w in range(floor.shape[1]):
+        may |= (high >= floor[:, w, None]) & (low <= top[:, w, None])
+    return may
 
 
 # The index: every point in a block of its cell
@@ -253,10 +274,7 @@ def _visits(queries: DataFrame, index: Index, width: int, slots: int, home: bool
                 rows, cells = np.arange(len(vectors)), own
             else:
                 low, high = bounds(vectors @ centers.T, (vectors**2).sum(axis=1), radius, longest)
-                visit = np.zeros(low.shape, bool)
-                for q, (least, greatest) in enumerate(zip(batch.column("least").to_pylist(), batch.column("greatest").to_pylist())):
-                    for a, b in zip(least, greatest):
-                        visit[q] |= (high[q] >= a) & (low[q] <= b)
+                visit = _may_hold(low, high, _windows(batch.column("least"), 1), _windows(batch.column("greatest"), -1))
                 visit[np.arange(len(own)), own] = False
                 rows, cells = np.nonzero(visit)
             taken = batch.take(pa.array(rows))
@@ -266,6 +284,15 @@ def _visits(queries: DataFrame, index: Index, width: int, slots: int, home: bool
     return queries.mapInArrow(run, schema).withColumn("slot", F.pmod(F.xxhash64("q"), F.lit(slots).cast("long")).cast("int"))
 
 
+def _windows(column: pa.Array, beyond: int) -> np.ndarray:
+    """One row for each list; missing windows are put where no score is, at ``beyond`` times infinity."""
+    ends, values = column.value_lengths().to_numpy(), column.flatten().to_numpy().astype(float)
+    table = np.full((len(ends), max(ends.max(initial=0), 1)), beyond * np.inf)
+    row = np.repeat(np.arange(len(ends)), ends)
+    table[row, np.arange(len(row)) - np.repeat(np.cumsum(ends) - ends, ends)] = values
+    return table
+
+
 @lru_cache(maxsize=1)
 def _unpacked(packed: bytes) -> Block:
     return Block.unpack(packed)
@@ -281,10 +308,8 @@ def _met(visits: DataFrame, index: Index, width: int, most: int, same: bool) ->
         for batch in batches:
             for packed, queries in zip(batch.column("packed"), batch.column("queries")):
                 q, v, label, least, greatest = queries.values.flatten()
-                windows = [(np.array(a, np.int64), np.array(b, np.int64)) for a, b in zip(least.to_pylist(), greatest.to_pylist())]
                 block = _unpacked(packed.as_py())
-                hits = list(block.search(_matrix(v, width), label.to_numpy(), windows, most, same))
-                columns = np.array(hits, np.int64).reshape(-1, 4)
+                columns = block.search(_matrix(v, width), label.to_numpy(), _windows(least, 1), _windows(greatest, -1), most, same)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(q.to_numpy()[columns[:, 0]]), pa.array(columns[:, 1], pa.int32()), pa.array(columns[:, 2]), pa.array(columns[:, 3])],
                     names=["q", "w", "score", "id"],
