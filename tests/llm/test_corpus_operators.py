@@ -267,16 +267,59 @@ def test_tool_calls(spark):
     state["twice"] = sum(r["conv"] == 1 and r["turn"] == 1 and r["call_id"] == "a" for r in linked)
     assert state == {
         (1, 1, 0, "a"): ("answered", [], 2), (1, 1, 1, "b"): ("unanswered", ["limit is not integer", "missing text", "undeclared other"], None),
-        (1, 3, 0, "a"): ("repeated", ["needs unknown"], None), (1, 3, 1, "c"): ("unanswered", ["arguments are no object", "needs later"], None),
-        (1, 3, 2, "d"): ("unanswered", ["unknown tool unknown"], None), (1, 2, 0, "zz"): ("orphan", [], 2), (1, 4, 0, "a"): ("orphan", [], 4), (1, 0, 0, "c"): ("orphan", [], 0), "twice": 2,
+        (1, 3, 0, "a"): ("repeated", ["needs unknown"], None), (1, 3, 1, "c"): ("unanswered", ["arguments are no object", "in a cycle"], None),
+        (1, 3, 2, "d"): ("unanswered", ["unknown tool unknown", "in a cycle"], None), (1, 2, 0, "zz"): ("orphan", [], 2), (1, 4, 0, "a"): ("orphan", [], 4), (1, 0, 0, "c"): ("orphan", [], 0), "twice": 2,
         (2, 3, 0, None): ("orphan", [], 3), (2, 4, 0, None): ("unanswered", [], None), (None, 1, 0, "a"): ("unanswered", [], None),
-        (3, 1, 0, "a"): ("unanswered", ["needs later"], None), (3, 2, 0, "b"): ("unanswered", [], None),
+        (3, 1, 0, "a"): ("unanswered", [], None), (3, 2, 0, "b"): ("unanswered", [], None),
     }
     assert found[1, 1, 0, "a"]["canonical"] == '{"arguments":{"limit":3,"text":"é\\n"},"content":"r1","id":"a","name":"reply","state":"answered"}'
     assert all(json.loads(r["canonical"]) for r in found.values())
+    order = {k: (r["at_turn"], r["at_position"], r["level"]) for k, r in found.items()}
+    assert order[3, 1, 0, "a"] == (2, 0, 1) and order[3, 2, 0, "b"] == (2, 0, 0) and order[1, 3, 1, "c"][2] is None and order[1, 1, 1, "b"] == (1, 1, 0)
     assert toolcalls.link_tool_calls(df.limit(0), toolcalls.SCHEMAS).collect() == []
 
 
+def test_calls_come_in_topological_order(spark):
+    """Random needs in both directions, one conversation far larger than the others, circles, and a long chain against the order."""
+    rng, rows, needs = random.Random(2), [], {}
+    for conv in range(12):
+        turns = 40 if conv == 0 else 6
+        ids = [(t, p) for t in range(turns) for p in range(rng.randrange(1, 4))]
+        for t in range(turns):
+            calls = []
+            for node in (i for i in ids if i[0] == t):
+                wanted = [rng.choice(ids) for _ in range(rng.choice([0, 0, 1, 1, 2]))] if conv % 3 else [i for i in [(t - 1, 0)] if t and rng.random() < 0.9]
+                if conv % 4 == 1:  # needs point forwards only
+                    wanted = [w for w in wanted if w > node]
+                needs[conv, *node] = set(wanted)
+                calls.append({"id": "%d.%d" % node, "name": "look_up", "arguments": '{"turn":1}', "needs": ["%d.%d" % w for w in wanted]})
+            rows.append((conv, t, "assistant", json.dumps({"tool_calls": calls})))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {(r["conv"], r["turn"], r["position"]): r for r in toolcalls.link_tool_calls(df, toolcalls.SCHEMAS).collect()}
+    assert set(found) == set(needs)
+
+    def closure(node):
+        seen, todo = set(), [node]
+        while todo:
+            for w in needs[todo.pop()]:
+                if (node[0], *w) not in seen:
+                    seen.add((node[0], *w))
+                    todo.append((node[0], *w))
+        return seen
+
+    reach = {n: closure(n) for n in needs}
+    place = {n: max([n[1:], *(m[1:] for m in reach[n])]) for n in needs}
+    for n, r in found.items():
+        assert (r["at_turn"], r["at_position"]) == place[n]
+        stuck = any(m in reach[m] and place[m] == place[n] for m in [n, *reach[n]])
+        assert (r["level"] is None) == stuck == ("in a cycle" in r["problems"])
+        if not stuck:
+            for w in needs[n]:
+                m = found[n[0], *w]
+                assert (m["at_turn"], m["at_position"], m["level"] or 0) < (r["at_turn"], r["at_position"], r["level"]) or m["level"] is None
+    assert sum(r["level"] is None for r in found.values()) > 5 and sum((r["level"] or 0) > 1 for r in found.values()) > 5
+
+
 def test_near_copies_of_the_pipeline(spark):
     """One document of each group stays, as by comparing all fingerprints with each other."""
     import corpus_pipeline
