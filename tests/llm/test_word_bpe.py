@@ -41,7 +41,7 @@ def test_characters_one_by_one():
 
 
 def test_only_unassigned_characters_are_left_to_the_library():
-    assert word_bpe._unassigned().sum() == sum(unicodedata.category(chr(c)) == "Cn" for c in range(0x110000))
+    assert word_bpe.unassigned().sum() == sum(unicodedata.category(chr(c)) == "Cn" for c in range(0x110000))
 
 
 @pytest.mark.parametrize("word", ["a" * 50_000, "ab" * 20_000 + "c", "é" * 9_000, "x"])

@@ -6,6 +6,7 @@ counted as often as the text occurs, and what was found comes back to the docume
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -14,23 +15,41 @@ import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tidyveil.llm.common import blocks, prepare, stored
-from tidyveil.llm.word_bpe import byte_letters
+from tidyveil.llm.word_bpe import byte_letters, unassigned
 
 #: Texts longer than this many characters are tokenised in pieces, cut at a space between two other characters.
 CUT = 1 << 16
 #: Pairs that make up one of so many of all links or more are looked up in a table that is sent to all tasks; there can't
 #: be more of them than this number. All other pairs are joined.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
 
 _AT_SPACE = regex.compile(r"(?<=\S) (?=\S)")
 # How the piece tokenizer writes a space and single bytes.
 _SPACE, _BYTE = "▁", regex.compile(r"<0x([0-9A-F]{2})>")
+# How a byte-level tokenizer splits texts, and what its file says then.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def _quick(byte_file: str, a_bytes: list[bytes]) -> tiktoken.Encoding | None:
+    """The same merges in a quicker library, where they are numbered in the order of their ids; else None."""
+    with open(byte_file, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    if spec["normalizer"] or any(split.get(k) != v for k, v in _PLAIN.items()) or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return None
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if [model["vocab"][a + b] for a, b in merges] != list(range(256, 256 + len(merges))) or any(len(a_bytes[i]) != 1 for i in range(256)):
+        return None
+    ranks = {a_bytes[i]: i for i in range(256 + len(merges))}
+    return tiktoken.Encoding("bytes", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
 class Aligner:
@@ -49,6 +68,8 @@ class Aligner:
         for token, i in by_id:
             known = all(c in self.bytes_of_letter for c in token)
             self.a_bytes[i] = bytes(self.bytes_of_letter[c] for c in token) if known else token.encode()
+        #: Characters that tables of another Unicode version may class otherwise are left to the tokenizer's own library.
+        self.quick, self.unassigned = _quick(byte_file, self.a_bytes), unassigned()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace(_SPACE, " ").encode() for p in pieces]
         self.a_length, self.b_length = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
@@ -57,13 +78,18 @@ class Aligner:
         size = max(len(self.a_bytes), len(self.b_bytes))
         self._size, self._written = size, [f"{i}{end}" for end in ",|;" for i in range(size)]
 
+    def _a(self, text: str) -> list[int]:
+        if self.quick is None or not text.isascii() and self.unassigned[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
+            return self.a.encode(text, add_special_tokens=False).ids
+        return self.quick.encode_ordinary(text)
+
     def tokens(self, text: str, cut: int = CUT) -> tuple[list[int], list[int]]:
         first, a, b = 0, [], []
         while self.may_cut and len(text) - first > cut and (place := _AT_SPACE.search(text, first + cut)):
-            a += self.a.encode(" " + text[first : place.start()], add_special_tokens=False).ids
+            a += self._a(" " + text[first : place.start()])
             b += self.b.encode(text[first : place.start()], num_threads=1)
             first = place.end()
-        a += self.a.encode(" " + text[first:], add_special_tokens=False).ids
+        a += self._a(" " + text[first:])
         return a, b + self.b.encode(text[first:], num_threads=1)
 
     def align(self, text: str, cut: int = CUT) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray] | None:
@@ -80,19 +106,25 @@ class Aligner:
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         a_ends, b_ends = self.a_length[a].cumsum(), self.b_length[b].cumsum()
         # Between two neighbouring ends of either kind lies one A and one B token, and no two stretches have the same ones.
-        ends = np.union1d(a_ends, b_ends)
-        both = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        ends = np.concatenate([a_ends, b_ends])
+        ends.sort(kind="stable")
+        again = np.append(ends[1:] == ends[:-1], False)
+        both, ends = ends[again], ends[~again]
         left, right = a[np.searchsorted(a_ends, ends)], b[np.searchsorted(b_ends, ends)]
         pairs, counts = np.unique(left << 32 | right, return_counts=True)
-        return len(a), len(b), len(both), len(ends), self._groups(a, b, np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)), pairs, counts
+        return len(a), len(b), len(both), len(ends), self._groups(a, b, np.searchsorted(a_ends, both), np.searchsorted(b_ends, both)), pairs, counts
 
-    def _groups(self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> str:
-        """``a1,a2|b1;a3|b2,b3``: the tokens by group, A before B, with what stands behind each."""
-        side = np.concatenate([a_group * 2, b_group * 2 + 1])
-        order = np.argsort(side, kind="stable")
-        side, ids = side[order], np.concatenate([a, b])[order]
-        behind = np.where(np.append(side[1:] != side[:-1], True), 1 + side % 2, 0)
-        return "".join(map(self._written.__getitem__, (behind * self._size + ids).tolist()))[:-1]
+    def _groups(self, a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> str:
+        """``a1,a2|b1;a3|b2,b3``: the tokens by group, A before B, with what stands behind each. Given the last tokens of groups."""
+        a_sizes, b_sizes = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
+        place = np.empty(len(a) + len(b), np.int64)
+        # An A token stands behind the B tokens of earlier groups, a B token also behind the A tokens of its own.
+        a_place = np.arange(len(a)) + np.repeat(b_last + 1 - b_sizes, a_sizes)
+        b_place = np.arange(len(b)) + np.repeat(a_last + 1, b_sizes)
+        place[a_place], place[b_place] = a, b
+        place[a_place[a_last]] += self._size
+        place[b_place[b_last]] += 2 * self._size
+        return "".join(map(self._written.__getitem__, place.tolist()))[:-1]
 
 
 @lru_cache(maxsize=2)
@@ -194,10 +226,11 @@ def alignment_by_document(documents: DataFrame, byte_file: str, piece_file: str)
     texts = distinct_texts(documents).withColumn("key", F.unhex(F.sha2("text", 256)))
     digest = F.when(F.col("n_links") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
     numbers = ["n_a", "n_b", "n_groups", "n_links"]
-    aligned = stored(align(texts, byte_file, piece_file, ["key", "copies"]).select("key", "copies", *numbers, digest, "pairs", "counts"), "aligned")
+    found = align(texts, byte_file, piece_file, ["key", "copies"])
+    aligned = stored(found.select(F.monotonically_increasing_id().alias("row"), "key", "copies", *numbers, digest, "pairs", "counts"), "aligned")
     counts = stored(pair_counts(aligned), "counts")
     # Stored, so that both sides of the next join come straight from their shuffles and a frequent text can be split.
-    found = stored(weighted(aligned, counts, "key", [*numbers, "groups_sha256"]), "measures")
+    found = stored(weighted(aligned, counts, "row", ["key", *numbers, "groups_sha256"]).drop("row"), "measures")
 
     text = F.col("text").cast("string")
     has_text = F.coalesce(text != "", F.lit(False))

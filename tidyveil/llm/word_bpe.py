@@ -28,7 +28,7 @@ from tidyveil.llm.common import prepare, text_of
 #: Texts longer than this many characters are worked on in pieces, cut before spaces: no token holds one.
 CUT = 1 << 16
 #: Words that a worker remembers; it forgets all when there are more.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 
 # What the tokenizer file has to say for this module to give the ids its library gives.
 _NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -43,7 +43,8 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(others)) for b in range(256)]
 
 
-def _unassigned() -> np.ndarray:
+@lru_cache(maxsize=1)
+def unassigned() -> np.ndarray:
     """Which characters Python's tables don't know. Newer tables might: texts with them are left to the library's own."""
     return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
@@ -93,7 +94,7 @@ class WordBpe:
         self._at_special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
         # White space only parts words, whatever it is. Letters first: what the others start with is no letter.
         self._words = regex.compile(r"\p{L}+|'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\s\p{L}\p{N}]+")
-        self._unassigned = _unassigned()
+        self._unassigned = unassigned()
         self._library = Tokenizer.from_file(path)
         self._known = _Known(self.merged)
 
