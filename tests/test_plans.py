@@ -84,6 +84,42 @@ def test_statistics_are_one_row_subqueries(lineitem):
         assert "Subquery" in text and "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_statistics_of_many_steps_take_one_pass(spark, lineitem, monkeypatch):
+    """Twenty steps that want a mean, mode, range or median: one stored aggregate, and no other scan but the main one."""
+    from tidyveil.plans import statistics
+
+    stored = []
+    monkeypatch.setattr(statistics, "cut_lineage", lambda df: (stored.append(plan(df)), df.checkpoint())[1])
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    numbers = ["l_tax", "l_quantity", "l_discount", "l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber"]
+    gaps = lineitem.select(*[F.when(F.col("l_orderkey") % 7 != i, F.col(c)).alias(c) for i, c in enumerate(numbers)], *[F.col(c).alias(f"{c}_{k}") for c in numbers for k in "ab"])
+    steps = [Step("FILL_MISSING", {"column": c, "strategy": ("mean", "median", "mode")[i % 3]}) for i, c in enumerate(numbers)]
+    steps += [Step("FILL_MISSING", {"column": f"{c}_a", "strategy": ("mode", "mean")[i % 2]}) for i, c in enumerate(numbers)]
+    steps += [Step("GENERALIZE_COLUMN", {"column": f"{c}_b", "bins": 4}) for c in numbers]
+    result = tv.run_steps(gaps, steps).data
+    assert len(steps) > 20 and plan(result).count("FileScan") == 1 and len(stored) == 1 and stored[0].count("FileScan") == 1
+    alone = gaps
+    for step in steps:
+        alone = tv.run_steps(alone, [step]).data.checkpoint()
+    for c in gaps.columns:  # as by one step after the other
+        a, b = (df.groupBy(F.round(c, 6) if c in numbers else F.col(c)).count() for df in (result, alone))
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())), c
+
+
+def test_statistics_follow_what_changes_a_column(customer):
+    """A statistic wanted after its column changed, or after rows went, is that of the changed table."""
+    df = customer.select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("c_acctbal"))
+    steps = [
+        Step("FILL_MISSING", {"column": "c_acctbal", "strategy": "median"}), Step("FILL_MISSING", {"column": "c_nationkey", "strategy": "mode"}),
+        Step("GENERALIZE_COLUMN", {"column": "c_acctbal", "bins": 3}), Step("FILTER_ROWS", {"column": "c_custkey", "operator": ">", "value": 100}),
+        Step("GENERALIZE_COLUMN", {"column": "c_custkey", "bins": 2}), Step("GENERALIZE_COLUMN", {"column": "c_nationkey", "bins": 2}),
+    ]
+    by_one = df
+    for step in steps:
+        by_one = tv.run_steps(by_one, [step]).data
+    assert sorted(map(str, tv.run_steps(df, steps).data.collect())) == sorted(map(str, by_one.collect()))
+
+
 def test_detection_and_profile_scan_once(customer):
     from tidyveil.inspection import value_pattern_rates
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,9 @@ from tidyveil.functions.columns import (
 from tidyveil.functions.parsing import with_moment
 from tidyveil.operators.lookup import BROADCAST_ROWS, HOT_SHARE, attach_by_value
 
+if TYPE_CHECKING:
+    from tidyveil.plans.statistics import Statistics
+
 _DATE_UNITS = {"month": "yyyy-MM", "year": "yyyy"}
 
 
@@ -40,12 +45,12 @@ def _between_edges(number: Column, edges: list[float], labels: list[str]) -> Col
     return label
 
 
-def _equal_width(base: DataFrame, number: Column, bins: int, labels: list[str] | None) -> DataFrame:
-    """One row: a struct of the inner edges (as doubles) and the ``bins`` labels."""
+def _equal_width(span: DataFrame, bins: int, labels: list[str] | None) -> DataFrame:
+    """One row: a struct of the inner edges (as doubles) and the ``bins`` labels. ``span`` has the least and greatest number."""
     low, high = F.col("low"), F.col("high")
     # A single value gets a span around it, as wide as a thousandth of its size.
     pad = F.when(low == high, F.when(low == 0, F.lit(0.001)).otherwise(F.abs(low) * 0.001)).otherwise(0.0)
-    span = base.agg(F.min(number).alias("low"), F.max(number).alias("high")).select(
+    span = span.select(
         (low - pad).alias("low"), (high + pad).alias("high")
     )
     width = (high - low) / bins
@@ -80,7 +85,7 @@ def generalize_column(
     labels: list[str] | None = None,
     round_to: float | None = None,
     date_unit: str | None = None,
-    stats_from: DataFrame | None = None,
+    stats_from: DataFrame | Statistics | None = None,
 ) -> DataFrame:
     """Put values into ranges, shown as text.
 
@@ -116,7 +121,12 @@ def generalize_column(
         if any(b <= a for a, b in zip(edges, edges[1:])):
             raise StepError("bin edges must increase")
         return replace_column(df, column, _between_edges(number, edges, labels or _interval_labels(edges)))
-    cut = _equal_width(df if stats_from is None else stats_from, number, bins, labels).scalar()
+    base = df if stats_from is None else stats_from
+    if isinstance(base, DataFrame):
+        span = base.agg(F.min(number).alias("low"), F.max(number).alias("high"))
+    else:
+        span = base.span(column)
+    cut = _equal_width(span, bins, labels).scalar()
     edges = cut.getField("edges")
     below = F.lit(0)
     for i in range(1, bins):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 from decimal import Decimal, InvalidOperation
-from typing import Any
+from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,9 @@ from tidyveil.functions.columns import (
 )
 from tidyveil.operators.ordering import carry_fill, exact_median
 
+if TYPE_CHECKING:
+    from tidyveil.plans.statistics import Statistics
+
 
 def _literal(value: Any, dtype: T.DataType) -> Column | None:
     """``value`` in the column's type, or None where the column must turn into text to hold it."""
@@ -58,7 +61,7 @@ def fill_missing(
     order_by: list[str] | None = None,
     partition_by: list[str] | None = None,
     approx: bool = False,
-    stats_from: DataFrame | None = None,
+    stats_from: DataFrame | Statistics | None = None,
 ) -> DataFrame:
     """Fill (or drop) the missing cells of one column; blank text is not missing.
 
@@ -66,7 +69,7 @@ def fill_missing(
     numbers; ``mode`` the most frequent cell, the smallest of equals; ``forward`` and ``backward``
     the nearest earlier / later cell in ``order_by``; ``drop`` removes the rows. ``approx=True`` takes
     a sketch for the median. ``stats_from`` is a table with the same values in this column that is
-    cheaper to scan. ``mean`` and ``mode`` are scalar subqueries of the result; the exact ``median``
+    cheaper to scan, or the statistics of one that were taken together. ``mean`` and ``mode`` are scalar subqueries of the result; the exact ``median``
     counts the column's values, and ``forward`` / ``backward`` sample the order, when called.
     An unknown strategy changes nothing.
     """
@@ -85,7 +88,9 @@ def fill_missing(
         return replace_column(df, column, F.coalesce(kept, fill))
     if strategy in ("mean", "median"):
         number = to_number(c, dtype)
-        if strategy == "mean":
+        if not isinstance(base, DataFrame):
+            stat = base.mean(column) if strategy == "mean" else base.median(column)
+        elif strategy == "mean":
             stat = base.agg(F.avg(number).alias("fill"))
         elif approx:
             stat = base.agg(F.percentile_approx(number, 0.5, 10_000).alias("fill"))
@@ -96,7 +101,10 @@ def fill_missing(
         text = stat.select(as_text(F.col(stat.columns[0]), T.DoubleType()).alias("fill"))
         return replace_column(df, column, F.coalesce(as_text(c, dtype), text.scalar()))
     if strategy == "mode":
-        counts = base.select(kept.alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        if isinstance(base, DataFrame):
+            counts = base.select(kept.alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        else:
+            counts = base.counts(column, "mode")
         top = counts.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("fill"))
         fill = top.scalar()
         if isinstance(dtype, T.StringType):

@@ -175,7 +175,12 @@ def exact_median(df: DataFrame, value: Column) -> DataFrame:
     counts = cut_lineage(
         df.select(value.alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     )
-    keyed = with_range(counts.select("v", "n", F.struct("v").alias(KEY)), range_count(df))
+    return median_of_counts(counts, range_count(df))
+
+
+def median_of_counts(counts: DataFrame, ranges: int) -> DataFrame:
+    """The median of values ``v`` of which there are ``n`` each. ``counts`` should be stored, as it is read several times."""
+    keyed = with_range(counts.select("v", "n", F.struct("v").alias(KEY)), ranges)
     sizes = keyed.groupBy(RANGE).agg(F.sum("n").alias("size"))
     upto = W.orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
     low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)

@@ -11,8 +11,9 @@ from pyspark.sql.utils import AnalysisException
 
 from tidyveil.constants import ROW_ORDER
 from tidyveil.errors import StepError
-from tidyveil.functions.columns import has_column
+from tidyveil.functions.columns import has_column, need_flat
 from tidyveil.plans.lineage import cut_lineage
+from tidyveil.plans.statistics import Statistics
 from tidyveil.plans.steps import (
     Step,
     accepts,
@@ -22,6 +23,7 @@ from tidyveil.plans.steps import (
     kind_of_step,
     load_steps,
     protects,
+    statistic_of,
     title_of,
 )
 from tidyveil.streaming.guard import check_streamable
@@ -126,7 +128,36 @@ def _check_columns(df: DataFrame, step: Step, params: dict[str, Any], require_co
         raise StepError(f"{title_of(step)}: no column named {name!r}, so nothing would be protected")
 
 
-def _apply(df: DataFrame, step: Step, order_by: list[str] | None, require_columns: bool, stats_from: DataFrame) -> DataFrame:
+def _request(step: Step, df: DataFrame) -> tuple[str, str] | None:
+    """The statistic a step wants, as column and kind, if ``df`` has it to give."""
+    column, kind = step.params.get("column"), statistic_of(step)
+    if kind is None or not isinstance(column, str) or not has_column(df, column):
+        return None
+    try:
+        need_flat(df, column)
+    except StepError:
+        return None
+    return column, kind
+
+
+def _gathered(steps: list[Step], base: DataFrame, changed: set[str]) -> Statistics:
+    """What ``steps`` want of columns as they are in ``base``, up to the first that changes more than a column."""
+    requests, changed = [], set(changed)
+    for step in steps:
+        try:
+            kind, params = kind_of_step(step), bound_params(step)
+        except StepError:
+            continue  # told when its turn comes
+        request = _request(step, base)
+        if request and request[0] not in changed and request not in requests:
+            requests.append(request)
+        if changes_rows(step) or kind.changes != "column":
+            break
+        changed.add(params.get(kind.column_param))
+    return Statistics(base, requests)
+
+
+def _apply(df: DataFrame, step: Step, order_by: list[str] | None, require_columns: bool, stats_from: DataFrame | Statistics) -> DataFrame:
     params = bound_params(step)
     _check_columns(df, step, params, require_columns)
     if accepts(step, "stats_from"):
@@ -154,10 +185,10 @@ def run_steps(
     where otherwise it would quietly protect nothing. ``order_by`` is the row order for steps that
     need one and name none; each has to be there when such a step comes.
 
-    Column statistics are read from the last table that still has the same values in that column,
-    so a run of such steps scans the source once per step, not once per step and each one before.
-    If steps pile up so that the plan would scan its source more than MAX_SCANS times, the table is
-    stored first and the plan goes on from there.
+    Column statistics are read from the last table that still has the same values in that column. What
+    several steps want of one table is gathered in a single pass over it and stored. Fills that follow
+    the order of rows read what is before them several times each: if the plan would scan its source
+    more than MAX_SCANS times, the table is stored first and the plan goes on from there.
     """
     if on_error not in ("fail", "skip"):
         raise StepError(f"on_error must be 'fail' or 'skip', not {on_error!r}")
@@ -167,8 +198,9 @@ def run_steps(
     current, scans = df, 1
     unchanged_since: dict[str, tuple[DataFrame, int]] = {}
     base = (df, 1)
+    gathered: Statistics | None = None
     stages, outcomes = [df], []
-    for step in todo:
+    for turn, step in enumerate(todo):
         before, stage_before = current, len(stages) - 1
         try:
             kind = kind_of_step(step)
@@ -176,14 +208,18 @@ def run_steps(
             column = params.get(kind.column_param)
             extra = 0
             stats_from, stats_scans = unchanged_since.get(column, base)
-            if not is_row_local(step) and kind.reads:
+            request = _request(step, base[0])
+            if request and column not in unchanged_since and (gathered is None or gathered.base is not base[0]):
+                gathered = _gathered(todo[turn:], base[0], set(unchanged_since))
+            together = request and column not in unchanged_since and request in gathered and len(gathered.requests) > 1
+            if not together and not is_row_local(step) and kind.reads:
                 ordered = params.get("strategy") in ("forward", "backward")
                 extra = scans * _FILL_SCANS if ordered else stats_scans * kind.reads
             if scans + extra > MAX_SCANS:
                 current, scans = cut_lineage(current), 1
                 unchanged_since, base = {}, (current, 1)
                 stats_from, extra = current, _FILL_SCANS
-            current = _apply(current, step, order_by, require_columns, stats_from)
+            current = _apply(current, step, order_by, require_columns, gathered if together else stats_from)
             scans += extra
         except (StepError, AnalysisException, TypeError, ValueError) as exc:
             if on_error == "fail" or protects(step):
