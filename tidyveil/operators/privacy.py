@@ -21,6 +21,7 @@ from tidyveil.functions.masking import hash_text, mask_text
 from tidyveil.operators.lookup import BROADCAST_ROWS, attach_by_value
 
 _LEAST_DIGITS = 3  # 4,096 buckets of the numbering, or 16 for each task of the session's shuffles if that is more
+_FEW_BUCKETS = 1 << 16
 
 
 def mask_column(df: DataFrame, column: str, mask_char: str = MASK_CHAR, show_last: int = MASK_SHOW_LAST) -> DataFrame:
@@ -52,27 +53,26 @@ def hash_column(df: DataFrame, column: str, algorithm: str = "sha256", salt: str
 def pseudonyms(values: DataFrame, prefix: str, seed: int) -> DataFrame:
     """Number the rows of ``values(key, copies)`` (distinct keys) in an order shuffled by ``seed``.
 
-    The order is that of ``md5(seed:key)``. Its first digits deal the keys evenly into buckets; a
-    running total over the bucket sizes (one small row each) turns places within a bucket into
-    places overall, so no task sorts more than its bucket.
+    The order is that of ``md5(seed:key)``. Its first digits deal the keys evenly into buckets; running
+    totals over the bucket sizes (one small row each) turn places within a bucket into places
+    overall, so no task sorts more than its bucket.
     """
     width = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     digits = max(_LEAST_DIGITS, (width.bit_length() + 3) // 4 + 1)
     hashed = values.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("key")))).withColumn(
         "bucket", F.substring("h", 1, digits)
     )
-    offsets = (
-        hashed.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("size"))
-        .select(
-            F.col("bucket").alias("b"),
-            F.coalesce(
-                F.sum("size").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-            ).alias("before"),
-        )
-    )
+    # Running totals in two levels: over the buckets of each group, and over the few groups.
+    earlier = lambda window: F.coalesce(F.sum("size").over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    group = F.substring("bucket", 1, (digits + 1) // 2)
+    sizes = hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).withColumn("group", group)
+    groups = sizes.groupBy("group").agg(F.sum("size").alias("size"))
+    starts = groups.select(F.col("group").alias("g"), earlier(W.orderBy("group")).alias("start"))
+    within = sizes.select("group", F.col("bucket").alias("b"), earlier(W.partitionBy("group").orderBy("bucket")).alias("within"))
+    offsets = within.join(F.broadcast(starts), F.col("group") == F.col("g")).select("b", (F.col("start") + F.col("within")).alias("before"))
     place = F.row_number().over(W.partitionBy("bucket").orderBy("h", "key"))
-    numbered = hashed.withColumn("place", place).join(F.broadcast(offsets), F.col("bucket") == F.col("b"))
+    few = 16**digits <= _FEW_BUCKETS  # otherwise the join finds both sides dealt out by bucket
+    numbered = hashed.withColumn("place", place).join(F.broadcast(offsets) if few else offsets, F.col("bucket") == F.col("b"))
     number = (F.col("place") + F.col("before")).cast("string")
     padded = F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)
     return numbered.select("key", F.concat(F.lit(f"{prefix}_"), padded).alias("payload"), "copies")
