@@ -1,6 +1,7 @@
 """Profiles, detection, protection."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import tidyveil as tv
 from tidyveil.errors import StepError
@@ -72,3 +73,15 @@ def test_profile(spark):
     assert lines == {"n": ("Number", 2, 0, 1), "t": ("Text", 2, 1, 1), "d": ("Number", 2, 1, 1), "m": ("Text", 2, 0, None)}
     assert {r["column"]: r["unique"] for r in tv.profile_columns(df.drop("m"), approx=True).collect()} == {"n": 1, "t": 1, "d": 1}
     assert tv.profile_columns(df.select()).count() == 0
+
+
+def test_profile_tells_values_apart(spark):
+    """Zeros, long texts that differ at their end, texts that look like digests, nested cells."""
+    import hashlib
+
+    long = "x" * 100
+    rows = [(0.0, long + "a", "=1", [1, None]), (-0.0, long + "b", "1", [1]), (float("nan"), hashlib.sha256((long + "a").encode()).hexdigest(), None, [1, None]), (1.5, long + "a", "1", None)]
+    df = spark.createDataFrame(rows, "d double, t string, s string, a array<int>").withColumn("b", F.col("s").cast("binary"))
+    found = {r["column"]: (r["total"], r["missing"], r["unique"]) for r in tv.profile_columns(df).collect()}
+    assert found == {"d": (4, 1, 2), "t": (4, 0, 3), "s": (4, 1, 2), "a": (4, 1, 2), "b": (4, 1, 2)}
+    assert [(r["total"], r["missing"], r["unique"]) for r in tv.profile_columns(df.limit(0)).collect()] == [(0, 0, 0)] * 5

@@ -84,6 +84,12 @@ def test_statistics_are_one_row_subqueries(lineitem):
         assert "Subquery" in text and "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_a_salt_stands_in_no_plan(customer):
+    df = tv.hash_column(customer, "c_name", salt="very-secret-salt")
+    assert "very-secret-salt" not in df._jdf.queryExecution().toString() and shuffles(df) == 0
+    assert "very-secret-salt" not in plan(tv.run_steps(customer, [Step("HASH_COLUMN", {"column": "c_name", "salt": "very-secret-salt"})]).data)
+
+
 def test_statistics_of_many_steps_take_one_pass(spark, lineitem, monkeypatch):
     """Twenty steps that want a mean, mode, range or median: one stored aggregate, and no other scan but the main one."""
     from tidyveil.plans import statistics
@@ -125,6 +131,8 @@ def test_detection_and_profile_scan_once(customer):
 
     for df in (value_pattern_rates(customer), tv.profile_columns(customer.select("c_name", "c_nationkey"))):
         assert plan(df).count("FileScan") == 1
+    exact = plan(tv.profile_columns(customer))
+    assert exact.count("FileScan") == 1 and "Expand" not in exact and "partial_count" in exact
 
 
 def test_results_do_not_depend_on_partitioning(spark, lineitem):

@@ -20,8 +20,8 @@ def mask_text(text: Column, mask_char: str, show_last: int) -> Column:
     )
 
 
-def hash_text(text: Column, algorithm: str, salt: str) -> Column:
-    salted = F.concat(F.lit(salt), text) if salt else text
+def hash_text(text: Column, algorithm: str, salt: Column | None) -> Column:
+    salted = text if salt is None else F.concat(salt, text)
     name = algorithm.lower().replace("-", "")
     if name in _SHA2_BITS:
         return F.sha2(salted, _SHA2_BITS[name])

@@ -43,11 +43,15 @@ def hash_column(df: DataFrame, column: str, algorithm: str = "sha256", salt: str
     """Hexadecimal digest of ``salt`` followed by the value's text.
 
     A digest of guessable values (short ids, phone numbers) can be reversed by trying them all;
-    a secret salt is what prevents it. Keep the salt out of saved specs and logs.
+    a secret salt is what prevents it. Keep the salt out of saved specs. It comes from a table of one
+    row, so that it stands in no plan or event log; only on streams, which take no such table, it does.
     """
     if not has_column(df, column):
         return df
-    return replace_column(df, column, hash_text(text_column(df, column), algorithm, salt))
+    hidden = None
+    if salt:
+        hidden = F.lit(salt) if df.isStreaming else df.sparkSession.createDataFrame([(salt,)], "salt string").scalar()
+    return replace_column(df, column, hash_text(text_column(df, column), algorithm, hidden))
 
 
 def pseudonyms(values: DataFrame, prefix: str, seed: int) -> DataFrame:

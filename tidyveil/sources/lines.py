@@ -42,8 +42,13 @@ def without_head(lines: DataFrame, count: int) -> DataFrame:
     """Drop the first ``count`` lines of every file. They lie in its first block, so later blocks are not looked at."""
     if count <= 0:
         return lines
-    later = (F.col("block") > 0) | (F.col("id") >= F.col("first") + count)
-    return lines.join(first_ids(lines), F.col("file") == F.col("of")).filter(later).drop("of", "first")
+    first = F.col("file") == F.col("of")
+    if few_files(lines):
+        later = (F.col("block") > 0) | (F.col("id") >= F.col("first") + count)
+        return lines.join(first_ids(lines), first).filter(later).drop("of", "first")
+    # A join by file would gather each file's lines: only those of first blocks take part in it.
+    begun = lines.filter("block = 0").join(first_ids(lines), first).filter(F.col("id") >= F.col("first") + count).drop("of", "first")
+    return begun.unionByName(lines.filter("block > 0"))
 
 
 def head_lines(lines: DataFrame, count: int) -> DataFrame:
