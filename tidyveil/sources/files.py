@@ -54,21 +54,25 @@ def inferred(df: DataFrame) -> DataFrame:
     holds keep their column text: as doubles, different ones would become equal.
     """
     columns = [c for c in df.columns if c != _BEYOND]
-    figures = [F.count(ref(_BEYOND)).alias("beyond")] if _BEYOND in df.columns else [F.lit(0).alias("beyond")]
+    beyond = ref(_BEYOND) if _BEYOND in df.columns else F.lit(None).cast("string")
+    kinds, figures = [beyond.alias("beyond")], [F.count("beyond").alias("beyond")]
     for i, name in enumerate(columns):
         if name in ROW_ORDER:
             continue
         c = ref(name)
         bare = F.trim(c)
-        fits = bare.try_cast("bigint").isNotNull()
+        # What each cell reads as, by the first test that fits: every whole number is a number.
+        kind = F.when(bare.rlike(_WHOLE), F.when(bare.try_cast("bigint").isNotNull(), 1).otherwise(2))
+        kind = kind.when(bare.rlike(PLAIN_NUMBER) | bare.rlike(_REAL), 3).when(c.isin(*_TRUTH), 4).when(c.isNotNull(), 5)
+        kinds.append(kind.alias(f"k{i}"))
         figures += [
-            F.count(c).alias(f"n{i}"),
-            F.count_if(bare.rlike(_WHOLE) & fits).alias(f"w{i}"),
-            F.count_if(bare.rlike(_WHOLE) & ~fits).alias(f"b{i}"),
-            F.count_if(bare.rlike(PLAIN_NUMBER) | bare.rlike(_REAL)).alias(f"r{i}"),
-            F.count_if(c.isin(*_TRUTH)).alias(f"t{i}"),
+            F.count(f"k{i}").alias(f"n{i}"),
+            F.count_if(F.col(f"k{i}") == 1).alias(f"w{i}"),
+            F.count_if(F.col(f"k{i}") == 2).alias(f"b{i}"),
+            F.count_if(F.col(f"k{i}") <= 3).alias(f"r{i}"),
+            F.count_if(F.col(f"k{i}") == 4).alias(f"t{i}"),
         ]
-    seen = df.agg(*figures).first()
+    seen = df.select(*kinds).agg(*figures).first()
     _refuse_ragged(seen["beyond"])
 
     def typed(i: int, name: str) -> Column:
