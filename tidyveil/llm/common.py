@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidyveil.plans.lineage import shared_folder
 
 #: Bytes of text in one Arrow batch, and in one block that a task holds as Python objects; rows of a block.
-BATCH_BYTES, BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 4 << 20, 60_000
+BATCH_BYTES, BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 1 << 20, 60_000
 
 
 def text_of(name: str) -> Column:
@@ -55,7 +55,7 @@ def prepare(spark: SparkSession) -> None:
 def blocks(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices of at most ``most`` bytes of text, or of one longer text."""
     for batch in batches:
-        ends = pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype("int64").cumsum()
+        ends = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype("int64").cumsum()
         first = 0
         while first < batch.num_rows:
             before = ends[first - 1] if first else 0

@@ -265,24 +265,28 @@ def score_texts(
     length has a passage as high. A missing or empty text has none and the lowest score; equal rows score alike.
     """
     prepare(docs.sparkSession)
-    source = docs.select(*[F.col(c) for c in keep], text_of(text).cast("binary").alias("__body"))
+    # A text that is kept goes to the task once, not a second time to be read.
+    own = text in keep and isinstance(docs.schema[text].dataType, T.StringType)
+    source = docs.select(*[F.col(c) for c in keep], *([] if own else [text_of(text).cast("binary").alias("__body")]))
+    at = keep.index(text) if own else len(keep)
     one = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("chance", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _Scores(model.counts)
-        for batch in blocks(batches, len(keep)):
-            pair = pa.RecordBatch.from_arrays([batch.column(len(keep))] * 2, names=["x", "body"])
+        for batch in blocks(batches, at):
+            body = pa.compute.fill_null(batch.column(at).cast(pa.binary()), b"")
+            pair = pa.RecordBatch.from_arrays([body] * 2, names=["x", "body"])
             values, places = [], []
             for n, found in _measured(pair, scores):
                 values.append(model.probability(model.evidence(n, [s for _, _, s in found])))
                 chances = [(a, b, s, float(-np.expm1(-np.exp(-model.tail.evidence(s, n))))) for a, b, s in found]
                 places.append([dict(zip(("start", "end", "score", "chance"), x)) for x in chances if x[3] < CHANCE])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(values, pa.float64()), pa.array(places, pa.list_(one))], names=[*keep, score, passages]
+                [*batch.columns[: len(keep)], pa.array(values, pa.float64()), pa.array(places, pa.list_(one))], names=[*keep, score, passages]
             )
 
     parts = [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("chance", T.DoubleType())]
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField(score, T.DoubleType()), T.StructField(passages, T.ArrayType(T.StructType(parts)))])
+    schema = T.StructType([*source.schema.fields[: len(keep)], T.StructField(score, T.DoubleType()), T.StructField(passages, T.ArrayType(T.StructType(parts)))])
     return source.mapInArrow(run, schema)
 
 
