@@ -4,10 +4,12 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -222,6 +224,25 @@ def test_predictive_probabilities_sum_to_one(spark):
     assert (10.0 ** table.astype(float)).sum(axis=0) == pytest.approx(np.ones(pitman_yor.CONTEXTS), abs=1e-5)
 
 
+def test_words_are_hashed_all_at_once():
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcxyz019é", k=rng.randint(1, 12))).encode() for _ in range(300_000)] + [b"long" * 400_000, b"a", b"ab", b"ba"]
+    texts = [b" -".join(words[:1000]), b"", b"end", b"begin, " + b". ".join(words[1000:]), b"", b"x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], names=["id", "body"])
+    want = [(k, w) for k, text in enumerate(texts) for w in decontaminate.words_of(text)]
+    own = []
+    began = time.process_time()
+    found = list(decontaminate._parsed(iter([batch]), decontaminate._Hashes()))
+    spent = time.process_time() - began
+    for part, w in found:
+        own += [(part.column(0)[int(k)].as_py(), w.folded[a:b], h) for k, a, b, h in zip(w.owner, w.starts, w.ends, w.hashes.tolist())]
+    assert [(k, w) for k, w, _ in own] == want
+    assert len({h for *_, h in own}) == len({w for _, w in want}) == len({(w, h) for _, w, h in own})
+    began = time.process_time()
+    known = {w: xxhash.xxh64_intdigest(w) for text in texts for w in decontaminate.words_of(text)}
+    assert spent < time.process_time() - began and known  # no step in Python for each word
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_archives(spark, version):
     big, small = "<p>é\r\n\r\nWARC/1.1\n" * 40, "x" * 99
