@@ -380,3 +380,12 @@ def test_job_finds_the_layout_and_changes_format(spark, tmp_path):
     assert run_job(spark, str(tmp_path / "texts.parquet"), str(tmp_path / "texts.csv")).first()["row_count"] == 3
     copy = run_job(spark, source, str(tmp_path / "copy.json"), fingerprints=False).first()
     assert copy["row_count"] == 4 and copy["source_hash"] == ""
+
+
+def test_first_line_of_files_without_a_sort(spark):
+    lines = spark.createDataFrame([("f", 0, 9, "late"), ("f", 0, 2, "first"), ("f", 5, 1, "far"), ("g", 0, 3, None), ("g", 0, 4, "x"), ("h", 7, 1, "y")], "file string, block long, id long, value string")
+    begun = F.col("block") == 0
+    first = lines.groupBy("file").agg(lines_module.first_value(F.when(begun, F.col("value")), F.when(begun, F.col("id"))).alias("head"), F.count_if(begun).alias("n"))
+    assert {r["file"]: (r["head"], r["n"]) for r in first.collect()} == {"f": ("first", 2), "g": (None, 2), "h": (None, 0)}
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan

@@ -15,7 +15,7 @@ from tidyveil.constants import MISSING_TOKENS
 from tidyveil.errors import SanitizeError
 from tidyveil.functions.columns import PLAIN_NUMBER, as_text, ref
 from tidyveil.plans.lineage import cut_lineage, shared_folder
-from tidyveil.sources.lines import as_latin1, head_lines, numbered_lines, without_head
+from tidyveil.sources.lines import as_latin1, first_value, head_lines, numbered_lines, without_head
 from tidyveil.sources.records import block_starts, chunks_of, records, with_changes
 from tidyveil.sources.rows import ROW_ORDER, with_row_id
 
@@ -188,7 +188,7 @@ def read_text_table(
     # One scan: what every file is like. Files that are alike form a group; the driver gets the groups.
     figures = [F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.count_if(is_open).alias("open")]
     if not header_row:  # the first line comes along; a later one takes two more looks at the first block
-        figures.append(F.min_by(F.when(F.col("block") == 0, F.col("value")), F.when(F.col("block") == 0, F.col("id"))).alias("head"))
+        figures.append(first_value(F.when(F.col("block") == 0, F.col("value")), F.when(F.col("block") == 0, F.col("id"))).alias("head"))
     about = lines.groupBy("file").agg(*figures)
     wanted = header_row or 0
     is_latin1 = (~F.col("utf8") if latin1 is None else F.lit(latin1)).alias("latin1")
@@ -340,7 +340,7 @@ def read_json(spark: SparkSession, path: str | list[str], row_order: bool = Fals
     ``spark.checkpoint.dir``.
     """
     chunks = chunks_of(spark, path, "}")
-    begins = chunks.filter("block = 0").groupBy("file").agg(F.min_by("value", "id").alias("first"))
+    begins = chunks.filter("block = 0").groupBy("file").agg(first_value(F.col("value"), F.col("id")).alias("first"))
     bracket = F.regexp_replace("first", "^\\x{FEFF}?\\s+|^\\x{FEFF}", "").startswith("[")
     kinds = cut_lineage(begins.select("file", bracket.alias("is_array")))
     counts = {r["is_array"]: r["count"] for r in kinds.groupBy("is_array").count().collect()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table with a row for each file is broadcast up to this size.
@@ -27,6 +27,14 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+def first_value(value: Column, order: Column) -> Column:
+    """``value`` of the least ``order`` in a group.
+
+    By itself ``min_by`` of a text has Spark sort all rows by group; beside a set, whose state is an object, it hashes them.
+    """
+    return F.when(F.size(F.collect_set(F.when(order.isNotNull(), F.lit(True)))) > 0, F.min_by(value, order))
+
+
 def few_files(lines: DataFrame) -> bool:
     """Whether a table with a row per file is small enough to broadcast; Spark has the listing."""
     return sum(len(f) + 32 for f in lines.inputFiles()) <= BROADCAST_BYTES
