@@ -1,6 +1,7 @@
 """Duplicates, decontamination, language model, archives, tool calls, and the pipeline: operators over whole tables."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -224,6 +225,34 @@ def test_predictive_probabilities_sum_to_one(spark):
     assert (10.0 ** table.astype(float)).sum(axis=0) == pytest.approx(np.ones(pitman_yor.CONTEXTS), abs=1e-5)
 
 
+def test_contexts_are_whole_words(spark, monkeypatch):
+    """Words of one ending have restaurants of their own, whose totals lie in other buckets or only at their homes."""
+    rng, follows = random.Random(11), {"raining": "cats", "training": "dogs"}
+    texts = [(i, " ".join(x for w in rng.choices([*follows], k=20) for x in (w, follows[w]))) for i in range(40)]
+    model = pitman_yor.train(spark.createDataFrame(texts, "doc_id long, text string"))
+    codes, known = pitman_yor._Codes(), ["", "cats", "dogs", "raining", "training"]
+    words = sorted([*known, "gaining"], key=lambda w: codes[w.encode()])
+    contexts, totals = pitman_yor._commonest(model)
+    table, _ = pitman_yor._lookup(model, np.array([codes[w.encode()] for w in words], np.uint64), (contexts, totals))
+    column = {w: contexts.tolist().index(codes.contexts[codes[w.encode()]]) for w in known}
+    log = lambda w, x: float(table[words.index(x), column[w]])
+    assert log("raining", "cats") > log("training", "cats") + 1 and log("training", "dogs") > log("raining", "dogs") + 1
+    monkeypatch.setattr(pitman_yor, "FREQUENT", 2.0)  # no word is frequent, so all tokens go to buckets
+    asked = ["", *(" ".join(w) for n in (1, 2) for w in itertools.product(words, repeat=n) if "" not in w), "raining dogs cats training raining"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string")
+    found = {asked[r["id"]]: r["score"] for r in pitman_yor.score(docs, model).collect()}
+    for text, score in found.items():
+        own = ["", *text.split(), ""]
+        if "gaining" not in own[1:-1]:
+            assert score == pytest.approx(sum(log(w, x) for w, x in zip(own, own[1:])), abs=1e-4), text
+    # After a word never seen, what is seen after its ending: probabilities of all words and of one unknown.
+    first = log("", "gaining")
+    after = {x: found[f"gaining {x}"] - first - log(x, "") for x in known if x} | {"": found["gaining"] - first}
+    after["gaining"] = found["gaining gaining"] - first - after[""]
+    assert sum(10**v for v in after.values()) == pytest.approx(1, abs=1e-4)
+    assert after["cats"] > table[words.index("cats"), -1] and after["raining"] < table[words.index("raining"), -1]  # than in a context never seen
+
+
 def test_words_are_hashed_all_at_once():
     rng = random.Random(8)
     words = ["".join(rng.choices("abcxyz019é", k=rng.randint(1, 12))).encode() for _ in range(300_000)] + [b"long" * 400_000, b"a", b"ab", b"ba"]
