@@ -253,6 +253,77 @@ def test_contexts_are_whole_words(spark, monkeypatch):
     assert after["cats"] > table[words.index("cats"), -1] and after["raining"] < table[words.index("raining"), -1]  # than in a context never seen
 
 
+def test_no_sweep_is_sampled_again(spark):
+    """The stored states are those of sweeps from the start, each with the totals of the one before."""
+    rng = random.Random(5)
+    texts = [(i, " ".join(f"{rng.choice('abc')}{int(rng.expovariate(0.1))}" for _ in range(50))) for i in range(60)]
+    model = pitman_yor.train(spark.createDataFrame(texts, "doc_id long, text string"))
+    rounds, tables = len(model.rounds), 0
+    assert [r.filter("kind = 2").count() > 0 for r in model.rounds] == [False] + [True] * (rounds - 1)
+    batches = pitman_yor._to_buckets(model.rows, model.rounds, model.buckets).toArrow().to_batches()
+    for own, states, totals, row in pitman_yor._by_bucket(iter(batches), model.buckets, rounds):
+        assert row is None and len(states) == len(totals) == rounds
+        state = own.start()
+        for k in range(rounds):
+            state = own.sweep(model.settings, state, totals[k - 1], k - 1) if k else state
+            assert all(np.array_equal(x, y) for x, y in zip(state, states[k], strict=True))
+        tables += sum(state[0] > 1)
+    assert tables > 0
+
+
+def test_tokens_of_a_block():
+    rng = random.Random(4)
+    odd = [b"", b" ", b"a", b"\x00 \x0eB\x1f\x85 \xc2\xa0x\t\n\x0b\x0c\rA", b"end", b"begin ", " É a".encode(), b"w" * 70_000, b""]
+    odd += [bytes(rng.choices(b" \t\nabAB\xc3\xa9\x00\x1c", k=rng.randrange(9))) for _ in range(2000)]
+    codes = pitman_yor._Codes()
+    for texts in (pa.array(odd, pa.binary()), pa.array(odd, pa.binary()).slice(3, 4), pa.array([b"", b""], pa.binary()), pa.array([b"x"], pa.large_binary())):
+        plain = [[*text.as_py().lower().split(), b""] for text in texts]
+        words = [w for own in plain for w in own]
+        found, contexts, key, row = pitman_yor._tokens(texts)
+        assert row.tolist() == [k for k, own in enumerate(plain) for _ in own]
+        assert found[key >> 32].tolist() == [codes[w] for w in words]
+        assert contexts[key & 0xFFFFFFFF].tolist() == [codes.contexts[codes[w]] for w in [words[-1], *words[:-1]]]
+    text = [" ".join(rng.choices(["the", "cat", "sat", "on", "mat"], k=400)).encode() for _ in range(400)]
+    made = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pitman_yor.xxhash, "xxh64_intdigest", lambda w, own=xxhash.xxh64_intdigest: made.append(w) or own(w))
+        pitman_yor._tokens(pa.array(text, pa.binary()))
+    assert sorted(made) == [b"", b"cat", b"mat", b"on", b"sat", b"the"]
+    words, sizes = pitman_yor._words(pa.array(text, pa.binary()))
+    assert words.to_pylist() == [w for t in text for w in [*t.split(), b""]] and sizes.tolist() == [401] * 400
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 255, 256, 257, 5000])
+def test_places_in_sorted_keys(n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+    wanted = np.concatenate([keys, keys + np.uint64(1), np.array([0, 1, 2**64 - 1], np.uint64)])
+    at, there = pitman_yor._found(keys, wanted)
+    assert there.tolist() == np.isin(wanted, keys).tolist() and (keys[at[there]] == wanted[there]).all()
+
+
+def test_pairs_of_blocks_are_merged():
+    rng = np.random.default_rng(9)
+    parts, want = [], Counter()
+    for n in (1, 500, 2000):
+        words, contexts = np.sort(rng.choice(10**6, 40, replace=False) * 9 % 60).astype(np.uint64), np.arange(5, 305, 3, dtype=np.uint64) << np.uint64(38)
+        words = np.unique(words)
+        key, counts = np.unique(rng.integers(len(words), size=n) << 32 | rng.integers(len(contexts), size=n), return_counts=True)
+        words, of = words[np.unique(key >> 32)], np.unique(key >> 32, return_inverse=True)[1]
+        own, at = np.unique(key & 0xFFFFFFFF, return_inverse=True)
+        parts.append((words, np.bincount(of), counts.astype(np.uint64), contexts[own], at.astype(np.uint32)))
+        for w, c, k in zip(words[of].tolist(), contexts[own][at].tolist(), counts.tolist()):
+            want[w, c] += k
+    words, sizes, counts, contexts, at = pitman_yor._merged(parts)
+    pairs = list(zip(np.repeat(words, sizes).tolist(), contexts[at].tolist()))
+    assert pairs == sorted(want) and dict(zip(pairs, counts.tolist())) == dict(want)
+    bucket = pitman_yor.Bucket(0, words, sizes, counts, contexts, at, 3)
+    endings = contexts | np.uint64(pitman_yor._ENDING)
+    assert bucket.rooms.tolist() == sorted({*contexts.tolist(), *endings.tolist()})
+    assert bucket.rooms[bucket.room].tolist() == [c for _, c in pairs]
+    assert list(zip(words[bucket.word].tolist(), bucket.rooms[bucket.ending].tolist())) == sorted({(w, c | pitman_yor._ENDING) for w, c in pairs})
+
+
 def test_words_are_hashed_all_at_once():
     rng = random.Random(8)
     words = ["".join(rng.choices("abcxyz019é", k=rng.randint(1, 12))).encode() for _ in range(300_000)] + [b"long" * 400_000, b"a", b"ab", b"ba"]
