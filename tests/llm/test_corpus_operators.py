@@ -293,6 +293,18 @@ def test_tokens_of_a_block():
     assert words.to_pylist() == [w for t in text for w in [*t.split(), b""]] and sizes.tolist() == [401] * 400
 
 
+def test_blocks_grow_with_buckets(monkeypatch):
+    monkeypatch.setattr(pitman_yor, "BLOCK", 1000)
+    texts = [b"x" * n for n in [100] * 200 + [5000, 0, 10]]
+    batches = pa.Table.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], names=["id", "body"]).to_batches(max_chunksize=7)
+    found = {b: list(pitman_yor._blocks(iter(batches), b)) for b in (8, 128, 100_000)}
+    for own in found.values():
+        assert [i for x in own for i in x.column(0).to_pylist()] == list(range(len(texts))) and [t for x in own for t in x.column(1).to_pylist()] == texts
+    assert len(found[8]) > 1.5 * len(found[128]) > 2 * len(found[100_000]) > 0
+    assert max(sum(map(len, x.column(1).to_pylist())) for x in found[100_000] if x.num_rows > 2) <= 4000  # not without end
+    assert list(pitman_yor._blocks(iter([]), 8)) == []
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 255, 256, 257, 5000])
 def test_places_in_sorted_keys(n):
     rng = np.random.default_rng(n)
